@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, token_counts, token_files
+from . import common, mixing, secrets, token_counts, token_files
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -23,6 +23,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), str(tokenizer_path()))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(documents(spark, sf_dir)))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.Scratch(spark, "tokenfiles").path
     token_files.write(documents(spark, sf_dir), path, str(tokenizer_path()), end_id=1)
@@ -31,6 +39,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixing": op2_mixing,
+    "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
