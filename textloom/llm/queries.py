@@ -5,8 +5,9 @@ from __future__ import annotations
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, decontamination, mixing, secrets, token_counts, token_files
+from . import common, decontamination, mixing, neighbours, secrets, token_counts, token_files
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -37,6 +38,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
+    "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
