@@ -6,18 +6,33 @@ input weights into one row for each distinct word, so a step is a row lookup and
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 
 DIM, HIDDEN, ATTEND, BUCKETS = 12, 8, 8, 1 << 15
 
 
-def grams(word: str) -> list[int]:
-    """Hashed character n-grams: all of 3 and 4, and the prefixes of 3 to 6, of the word with a start mark."""
-    marked = f"^{word[:40]}$"
-    found = [marked[i : i + n] for n in (3, 4) for i in range(max(1, len(marked) - n + 1))] + [f"<{word[:n]}" for n in range(3, 7)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of each word between marks, flat, and how many each word has: all of 3 and 4, and the prefixes of 3 to 6.
+
+    A word counts by its first 40 characters here.
+    """
+    marked = [f"^{w[:40]}$\0\0\0\0\0" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.concatenate([codes, np.zeros(8, np.uint64)])
+    n, starts = len(codes) - 8, np.cumsum(sizes) - sizes
+    hashed, at = codes[:n].copy(), {}
+    for k in range(1, 7):
+        hashed = (hashed * np.uint64(0x100000001B3)) ^ codes[k : n + k]
+        at[k + 1] = hashed
+    place, own = np.arange(n) - np.repeat(starts, sizes), np.repeat(sizes - 5, sizes)
+    take = [(place <= own - 3, at[3], 1), (place <= np.maximum(own - 4, 0), at[4], 2)]
+    take += [((place == 0), at[k], k + 1) for k in range(4, 8)]
+    which = np.concatenate([np.flatnonzero(keep) for keep, _, _ in take])
+    values = np.concatenate([(h[keep] ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) for keep, h, salt in take]) >> np.uint64(64 - 15)
+    word = np.repeat(np.arange(len(words)), sizes)[which]
+    order = np.argsort(word, kind="stable")
+    return values[order].astype(np.int64), np.bincount(word, minlength=len(words))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -43,9 +58,7 @@ class Network:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         ids = np.array([self.words.get(w, len(self.words)) for w in words], np.int64)
-        lists = [grams(w) for w in words]
-        sizes = np.array([len(x) for x in lists])
-        flat = np.concatenate([np.array(x) for x in lists]) if lists else np.empty(0, int)
+        flat, sizes = grams(words)
         starts = np.cumsum(sizes) - sizes
         return self.p["word"][ids] + np.add.reduceat(self.p["gram"][flat], starts) / sizes[:, None].astype(np.float32)
 
@@ -55,9 +68,10 @@ class Network:
     def run(self, rows: np.ndarray, mask: np.ndarray, table: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """States at every step; rows: windows x steps of rows in the table; the backward side goes from the end."""
         n, steps = rows.shape
+        across = np.ascontiguousarray(rows.T)
         h, u, out = np.zeros((n, HIDDEN), np.float32), self.p[f"u{side}"], np.empty((steps, n, HIDDEN), np.float32)
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-            x, g = table[rows[:, t]], h @ u
+            x, g = table[across[t]], h @ u
             zr = sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
             z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
             new = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
@@ -83,9 +97,8 @@ class Network:
     def learn(self, words: list[str], rows: np.ndarray, mask: np.ndarray, label: np.ndarray, rate: float = 0.01) -> float:
         """One Adam step on the windows' cross-entropy; rows index `words`."""
         ids = np.array([self.words.get(w, len(self.words)) for w in words], np.int64)
-        lists = [grams(w) for w in words]
-        sizes = np.array([len(x) for x in lists])
-        flat, owner = np.concatenate([np.array(x) for x in lists]), np.repeat(np.arange(len(words)), sizes)
+        flat, sizes = grams(words)
+        owner = np.repeat(np.arange(len(words)), sizes)
         inputs = self.inputs(words)
         cache: dict = {}
         logit = self.logits(rows, mask, self.project(inputs), cache)

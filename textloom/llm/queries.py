@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, mixing, neighbours, secrets, token_counts, token_files
+from . import common, decontamination, mixing, neighbours, secrets, token_counts, token_files, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -38,6 +38,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
+    "op7_toxicity": op7_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
 }

@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling (see gru.py).
 
-Every text is cut into windows of WINDOW words, each overlapping the last by half; all windows are scored,
+Every text is cut into windows of WINDOW words, each overlapping the last by a quarter; all windows are scored,
 and the text's score is that of its worst window. Training: at most PER_CLASS labelled rows of each class
 (those of the least hashes), from the windows that look most telling; labels, language, source and ids are
 never inputs. Scoring is one map-side pass; a worker holds a bounded table of words.
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from . import common, gru
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 48, 36
 #: Labelled rows of each class that training reads at most; rounds over the windows; windows in a step.
 PER_CLASS, ROUNDS, BATCH = 1500, 6, 256
 #: A wrong alarm costs as much as so many missed texts where the threshold is set.
 ALARM_COST = 5
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -68,14 +68,16 @@ def train(texts: list[str], labels: list[int]) -> gru.Network | None:
     word_odds = {w: float(odds(docs[1][w], docs[0][w])) * 0.5 for w in words}
     in_class = np.zeros((2, gru.BUCKETS))
     for own, label in zip(split, labels, strict=True):
-        in_class[label][np.unique([g for w in set(own) for g in gru.grams(w)]).astype(int)] += 1
+        in_class[label][np.unique(gru.grams(sorted({*own, ""}))[0])] += 1
     net = gru.Network({w: i for i, w in enumerate(sorted(words))})
     gram_odds = odds(in_class[1], in_class[0]).astype(np.float32)
     net.start_from(word_odds, gram_odds)
 
     every = sorted({w for own in split for w in own} | {""})
     number = {w: i for i, w in enumerate(every)}
-    signal = np.array([max(word_odds.get(w, 0.0) * 2, float(np.mean(gram_odds[gru.grams(w)]))) for w in every])
+    flat, sizes = gru.grams(every)
+    mean_odds = np.add.reduceat(gram_odds[flat], np.cumsum(sizes) - sizes) / sizes
+    signal = np.maximum(np.array([word_odds.get(w, 0.0) * 2 for w in every]), mean_odds)
     rows, mask, owner = gather([np.array([number[w] for w in own], np.int64) for own in split])
     best = np.where(mask > 0, signal[rows], -9).max(1)
     order = np.lexsort((-best, owner))
