@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, mixing, near_dups, neighbours, secrets, token_counts, token_files, toxicity
+from . import common, decontamination, mixing, near_dups, neighbours, secrets, substrings, token_counts, token_files, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -46,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(substrings.remove_repeats(documents(spark, sf_dir)))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
+    "op8_substrings": op8_substrings,
     "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
 }
