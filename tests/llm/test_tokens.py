@@ -23,7 +23,9 @@ def library():
 def noisy():
     rnd = random.Random(5)
     letters = "abcdeABC '’.,!?<|>0123 \n\t\x1c\xa0éñßüÇ中ж🎉́½"
-    return ["".join(rnd.choice(letters) for _ in range(rnd.randrange(80))) for _ in range(300)]
+    latin = "".join(map(chr, range(1, 256))) + "'"
+    every = ["".join(rnd.choice(latin) for _ in range(60)) for _ in range(200)]
+    return every + ["".join(rnd.choice(letters) for _ in range(rnd.randrange(80))) for _ in range(300)]
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, mixing, near_dups, neighbours, secrets, substrings, token_counts, token_files, toxicity
+from . import common, decontamination, lm, mixing, near_dups, neighbours, secrets, substrings, token_counts, token_files, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -28,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.groups(documents(spark, sf_dir), 3, 85)
 
@@ -61,6 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
+    "op3_lm_scores": op3_lm_scores,
     "op4_near_dups": op4_near_dups,
     "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,

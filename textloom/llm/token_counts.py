@@ -29,7 +29,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = OVER) -> Dat
     shared = spark.sparkContext.broadcast((spec, vocab.prove_whole(spec)))
 
     def count(stream):
-        counter = vocab.Counter(*shared.value)
+        counter = vocab.worker(vocab.Counter, *shared.value)
         for batch in stream:
             texts = batch.column("text").fill_null("")
             n = pa.array([counter.count(t) for t in texts.to_pylist()], pa.int64())

@@ -81,7 +81,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> N
 
     def encode(stream):
         source, content = shared.value
-        encoder = vocab.Encoder(source)
+        encoder = vocab.worker(vocab.Encoder, source)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content))
         end = end_id.to_bytes(encoder.width, "little")
         for batch in stream:

@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile(BLANK)
-#: Runs remembered by a worker; more than these start the table anew.
-REMEMBERED = 500_000
+#: Runs that each of a worker's two generations remembers.
+REMEMBERED = 300_000
 
 
 def runs(text: str) -> list[str]:
@@ -68,56 +68,90 @@ def prove_whole(spec: str) -> set[str]:
     return whole
 
 
-class Counter(dict):
-    """Run -> number of tokens. A pre-token that is a proven whole token counts one; only the rest are merged."""
+#: The pre-token pattern within lower-case Latin-1, where letters and digits can be listed.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+_WIDE = re.compile("[^\x00-\xff]")
 
-    def __init__(self, spec: str, whole: set[str]):
+
+class Remembered(dict):
+    """Run -> what it encodes to. Two generations of at most REMEMBERED runs: what is used again moves to the newer one."""
+
+    def __init__(self, spec: str):
         super().__init__()
-        self.tokenizer, self.whole = Tokenizer.from_str(spec), whole
         fixed = json.loads(spec)
+        self.older: dict = {}
+        self.tokenizer = Tokenizer.from_str(spec)
         self.pattern = regex.compile(fixed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = re.compile("|".join(re.escape(t["content"]) for t in fixed["added_tokens"]) or "(?!)")
-        self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.first = {t["content"][0] for t in fixed["added_tokens"]}
+        self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
 
     def pretokens(self, run: str) -> list[str]:
-        normal = self.tokenizer.normalizer.normalize_str(run)
-        return self.pattern.findall(normal)
+        """Latin-1 needs no normal form and lowers letter by letter; anything else goes through the library's normaliser."""
+        if not _WIDE.search(run):
+            return _LATIN.findall(run.lower())
+        return self.pattern.findall(self.tokenizer.normalizer.normalize_str(run))
+
+    def merge(self, pretoken: str) -> list:
+        return self.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))
+
+    def __missing__(self, run: str):
+        value = self.older.pop(run, None)
+        if value is None:
+            value = self.compute(run)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[run] = value
+        return value
+
+
+class Counter(Remembered):
+    """Run -> number of tokens. A pre-token that is a proven whole token counts one; only the rest are merged."""
 
-    def rest(self, pretoken: str) -> int:
-        return len(self.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters)))
+    def __init__(self, spec: str, whole: set[str]):
+        super().__init__(spec)
+        self.whole = whole
 
-    def __missing__(self, run: str) -> int:
+    def compute(self, run: str) -> int:
         total, pieces = 0, [run]
         if any(c in run for c in self.first):
             pieces = self.special.split(run)
             total = len(pieces) - 1
         for piece in pieces:
             for pretoken in self.pretokens(piece) if piece else ():
-                total += 1 if pretoken in self.whole else self.rest(pretoken)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[run] = total
+                total += 1 if pretoken in self.whole else len(self.merge(pretoken))
         return total
 
     def count(self, text: str) -> int:
         return sum(map(self.__getitem__, runs(text)))
 
 
-class Encoder(dict):
+class Encoder(Remembered):
     """Run -> its token ids, as the library gives them, packed little-endian in `width` bytes each."""
 
     def __init__(self, spec: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_str(spec)
+        super().__init__(spec)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
-    def __missing__(self, run: str) -> bytes:
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        if len(self) >= REMEMBERED:
-            self.clear()
-        packed = self[run] = b"".join([i.to_bytes(self.width, "little") for i in ids])
-        return packed
+    def compute(self, run: str) -> bytes:
+        if _WIDE.search(run) or any(c in run for c in self.first):
+            ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+        else:
+            ids = [t.id for pretoken in self.pretokens(run) for t in self.merge(pretoken)]
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, runs(text)))
+
+
+_worker: dict = {}
+
+
+def worker(kind: type[Remembered], *args) -> Remembered:
+    """The worker process's own table, kept from task to task."""
+    key = (kind, hash(args[0]))
+    if key not in _worker:
+        _worker[key] = kind(*args)
+    return _worker[key]
