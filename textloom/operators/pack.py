@@ -14,10 +14,13 @@ MAX_LINES, MAX_CHARS, MAX_PLAIN = 300, 10_000, 12_000
 
 def grouped(values: Column, ids: Column, sep: str) -> Column:
     """Joins neighbours of one id; ids ascend. Linear: each group is a slice."""
-    n = F.size(ids)
-    starts = F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((i == 0) | (F.get(ids, i) != F.get(ids, i - 1)), i)), lambda i: i.isNotNull())
-    cut = F.transform(starts, lambda s, j: F.array_join(F.slice(values, s + 1, F.coalesce(F.get(starts, j + 1), n) - s), sep))
-    return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+    def cut(both):
+        values, ids = both["v"], both["i"]
+        n = F.size(ids)
+        first = F.filter(F.transform(ids, lambda x, i: F.when((i == 0) | (x != F.get(ids, i - 1)), i)), lambda i: i.isNotNull())
+        return T.let(first, lambda at: F.transform(at, lambda s, j: F.array_join(F.slice(values, s + 1, F.coalesce(F.get(at, j + 1), n) - s), sep)))
+
+    return T.let(F.struct(values.alias("v"), ids.alias("i")), cut)
 
 
 def greedy_ids(lengths: Column, max_items: int, max_chars: int, alone: int | None) -> Column:
@@ -43,12 +46,17 @@ def slices(token: Column, width: int) -> Column:
 
 def pack_chars(c: Column, max_chars: int = MAX_PLAIN) -> Column:
     """FOLD5: tokens packed greedily; a longer token is cut into whole parts of its own."""
-    flat = T.trim(T.replace(c, f"{C.WS}+", " "))
-    tokens = F.split(flat, " ")
-    pieces = F.flatten(F.transform(tokens, lambda t: F.when(F.length(t) > max_chars, F.transform(slices(t, max_chars), lambda s: F.struct(s.alias("t"), F.lit(max_chars + 1).alias("n")))).otherwise(F.array(F.struct(t.alias("t"), F.length(t).alias("n"))))))
-    ids = greedy_ids(F.transform(pieces, lambda p: p["n"]), 1 << 30, max_chars, max_chars)
-    many = grouped(F.transform(pieces, lambda p: p["t"]), ids, " ")
-    return F.when(flat == "", F.array().cast("array<string>")).when(F.length(flat) <= max_chars, F.array(flat)).otherwise(many)
+    none = F.array().cast("array<string>")
+
+    def piece(t):
+        whole = F.array(F.struct(t.alias("t"), F.length(t).alias("n")))
+        return F.when(F.length(t) > max_chars, F.transform(slices(t, max_chars), lambda s: F.struct(s.alias("t"), F.lit(max_chars + 1).alias("n")))).otherwise(whole)
+
+    def many(flat):
+        pieces = F.flatten(F.transform(F.split(flat, " "), piece))
+        return T.let(pieces, lambda p: grouped(F.transform(p, lambda x: x["t"]), greedy_ids(F.transform(p, lambda x: x["n"]), 1 << 30, max_chars, max_chars), " "))
+
+    return T.let(T.trim(T.replace(c, f"{C.WS}+", " ")), lambda flat: F.when(flat == "", none).when(F.length(flat) <= max_chars, F.array(flat)).otherwise(many(flat)))
 
 
 def by_chars(c: Column, own: Column, max_plain: int = MAX_PLAIN) -> Column:
@@ -59,10 +67,11 @@ def by_chars(c: Column, own: Column, max_plain: int = MAX_PLAIN) -> Column:
 
 def pack(c: Column, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, max_plain: int = MAX_PLAIN) -> Column:
     """FOLD4: the parts of a normalised text."""
-    own = F.filter(T.lines(c), lambda x: ~T.is_blank(x))
-    ids = greedy_ids(F.transform(own, F.length), max_lines, max_chars, max_chars)
-    flat = F.array_join(own, " ")
-    return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(by_chars(c, own, max_plain), pack_chars(flat, max_plain)).otherwise(grouped(own, ids, "\n"))
+    def packed(own):
+        plain = grouped(own, greedy_ids(F.transform(own, F.length), max_lines, max_chars, max_chars), "\n")
+        return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(by_chars(c, own, max_plain), pack_chars(F.array_join(own, " "), max_plain)).otherwise(plain)
+
+    return T.let(F.filter(T.lines(c), lambda x: ~T.is_blank(x)), packed)
 
 
 def parts(frame: DataFrame, column: str = "text", path: Column | None = None, **limits: int) -> DataFrame:

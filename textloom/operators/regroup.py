@@ -22,7 +22,7 @@ def merge_short(c: Column, min_words: int = MIN_WORDS, most: int = MOST) -> Colu
         full = F.when(a["held"] == 0, w >= min_words).otherwise((words >= min_words) | (held >= most))
         return F.struct((a["g"] + F.when(full, 1).otherwise(0)).alias("g"), F.when(full, 0).otherwise(held).alias("held"), F.when(full, 0).otherwise(words).alias("words"), F.concat(a["ids"], F.array(a["g"])).alias("ids"))
 
-    return grouped(c, F.aggregate(F.transform(c, T.word_count), start, step, lambda a: a["ids"]), " ")
+    return T.let(c, lambda own: grouped(own, F.aggregate(F.transform(own, T.word_count), start, step, lambda a: a["ids"]), " "))
 
 
 def find_sentences(c: Column) -> Column:
@@ -32,15 +32,19 @@ def find_sentences(c: Column) -> Column:
 
 def merge_text(c: Column) -> Column:
     """ORC7, of the parts joined by blank lines: lines of the merged text; null where nothing is left."""
-    flat = T.normalize_wrapped(c)
-    found = T.clean_sentences(find_sentences(flat))
-    lines = F.when(T.has_terminator(flat), merge_short(found)).otherwise(merge_short(F.array(flat)))
-    return F.when((flat != "") & (F.size(lines) > 0), F.array_join(lines, "\n"))
+    def merged(flat):
+        found = F.when(T.has_terminator(flat), T.clean_sentences(find_sentences(flat))).when(flat != "", F.array(flat))
+        return T.let(merge_short(found), lambda lines: F.when(F.size(lines) > 0, F.array_join(lines, "\n")))
+
+    return T.let(T.normalize_wrapped(c), merged)
 
 
 def split_wrapped(c: Column) -> Column:
     """GEN7."""
-    flat = T.normalize_wrapped(c)
+    return T.let(T.normalize_wrapped(c), _split_wrapped)
+
+
+def _split_wrapped(flat: Column) -> Column:
     pattern = rf".+?(?:[{C.TERMINATORS}]+[\"'”’)]*|$)(?=\s+(?:[\"'“‘(]*[A-ZА-ЯЁ0-9])|$)"
     found = F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(0)), T.trim)
     return F.when(flat == "", F.array().cast("array<string>")).when(T.has_terminator(flat), merge_short(T.clean_sentences(found))).otherwise(merge_short(T.clean_sentences(T.split_unpunctuated(flat))))
