@@ -56,7 +56,9 @@ class Network:
             self.p["word"][i, 0] = word_odds.get(w, 0.0)
         self.p["gram"][:, 0] = gram_odds
 
-    def inputs(self, words: list[str]) -> np.ndarray:
+    def inputs(self, words: list[str], at_once: int = 10_000) -> np.ndarray:
+        if len(words) > at_once:  # n-gram arrays are many times the size of the result
+            return np.concatenate([self.inputs(words[i : i + at_once]) for i in range(0, len(words), at_once)])
         ids = np.array([self.words.get(w, len(self.words)) for w in words], np.int64)
         flat, sizes = grams(words)
         starts = np.cumsum(sizes) - sizes

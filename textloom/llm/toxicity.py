@@ -47,9 +47,9 @@ def gather(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.concatenate([*ids, np.zeros(WINDOW, np.int64)])
     base = np.cumsum([0] + [len(x) for x in ids])[:-1]
     at = np.concatenate(starts)
-    place = at[:, None] + np.arange(WINDOW)
+    place = (at[:, None] + np.arange(WINDOW)).astype(np.int32)
     mask = place < np.array([len(x) for x in ids])[owner][:, None]
-    return flat[np.where(mask, place + base[owner][:, None], 0)], mask.astype(np.float32), owner
+    return flat.astype(np.int32)[np.where(mask, place + base[owner][:, None], 0)], mask.astype(np.float32), owner
 
 
 def train(texts: list[str], labels: list[int]) -> gru.Network | None:
@@ -58,7 +58,9 @@ def train(texts: list[str], labels: list[int]) -> gru.Network | None:
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(3)
-    split = [[normal(r) for r in (t or "").split()] for t in texts]
+    same: dict[str, str] = {}
+    split = [[same.setdefault(w, w) for w in (normal(r) for r in (t or "").split())] for t in texts]
+    del same
     docs = [Counter(), Counter()]
     for words, label in zip(split, labels, strict=True):
         docs[label].update(set(words))
@@ -75,8 +77,10 @@ def train(texts: list[str], labels: list[int]) -> gru.Network | None:
 
     every = sorted({w for own in split for w in own} | {""})
     number = {w: i for i, w in enumerate(every)}
-    flat, sizes = gru.grams(every)
-    mean_odds = np.add.reduceat(gram_odds[flat], np.cumsum(sizes) - sizes) / sizes
+    mean_odds = np.zeros(len(every))
+    for at in range(0, len(every), 10_000):
+        flat, sizes = gru.grams(every[at : at + 10_000])
+        mean_odds[at : at + 10_000] = np.add.reduceat(gram_odds[flat], np.cumsum(sizes) - sizes) / sizes
     signal = np.maximum(np.array([word_odds.get(w, 0.0) * 2 for w in every]), mean_odds)
     rows, mask, owner = gather([np.array([number[w] for w in own], np.int64) for own in split])
     best = np.where(mask > 0, signal[rows], -9).max(1)
@@ -91,9 +95,9 @@ def train(texts: list[str], labels: list[int]) -> gru.Network | None:
             own, at = np.unique(rows[part], return_inverse=True)
             net.learn([every[i] for i in own], at.reshape(len(part), WINDOW), mask[part], label[part].astype(np.float32), 0.02 if turn < ROUNDS - 2 else 0.005)
     worst = np.full(len(y), -np.inf)
-    tables = net.project(net.inputs(every))
-    for part in np.array_split(np.arange(len(rows)), max(1, len(rows) // 4096)):
-        np.maximum.at(worst, owner[part], net.logits(rows[part], mask[part], tables))
+    for part in np.array_split(np.arange(len(rows)), max(1, len(rows) // 1024)):
+        own, at = np.unique(rows[part], return_inverse=True)
+        np.maximum.at(worst, owner[part], net.logits(at.reshape(len(part), WINDOW), mask[part], net.project(net.inputs([every[i] for i in own]))))
     cuts = np.unique(worst)
     cuts = np.concatenate([[cuts[0] - 1], (cuts[:-1] + cuts[1:]) / 2, [cuts[-1] + 1]])
     high, low = np.sort(worst[y == 0]), np.sort(worst[y == 1])
