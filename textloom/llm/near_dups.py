@@ -4,10 +4,10 @@
    a hash of its own, kept as leading-zero count and mantissa bits. Equal sets collapse to one representative.
 2. Bands of ROWS registers bucket the representatives. A pair at the threshold shares no bucket with
    probability (1 - t**ROWS)**bands, at most MISS.
-3. First every representative is compared with its best-estimated bucket centre; confirmed links are merged.
-   Then, in each bucket that still holds several components, every member outside the bucket's main component
-   is compared with all members of other components, in blocks: sketches first (collision-corrected estimate,
-   threshold less MARGIN), then full sets. So no link between components is passed over, and pairs within one
+3. First every representative is compared with its best-estimated bucket centres; confirmed links are merged.
+   Then, in each bucket that still holds several components, sketches of every member outside the bucket's main
+   component are compared with those of all members of other components (collision-corrected estimate,
+   threshold less MARGIN); where one is likely, full sets decide against its whole neighbourhood, in blocks. So no link between components is passed over, and pairs within one
    component, however large, are never listed. Hot buckets and blocks are split by salt.
 4. Components by alternating large and small stars; every round is written to the shared folder.
 
@@ -31,6 +31,8 @@ from . import common
 ROWS, MISS, MARGIN, MANTISSA = 5, 1e-6, 0.15, 10
 #: Members of a block, members of a bucket's sub-block, comparisons of one block in one task, ids that are broadcast at most.
 BLOCK, SUB, SALT, BROADCAST_ROWS = 256, 512, 400, 500_000
+#: Best-estimated centres that each representative is checked against at first.
+TRIED = 3
 
 
 def bands_for(threshold: float) -> int:
@@ -138,16 +140,16 @@ def _sets(texts: pd.Series, width: int) -> list[np.ndarray]:
 
 
 def confirm(wanted: DataFrame, blocks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v): each wanted (x, block) against the block's (rep, block), on full sets; one link for each x and component of the block at least."""
+    """Links (u, v): each wanted (x, block) against the block's (rep, component, block), on full sets; one for each x and component."""
     load = wanted.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"))
     left = wanted.join(load, "block").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts"))).join(texts.withColumnRenamed("rep", "x"), "x").select("block", "salt", "x", "text")
-    right = blocks.join(load, "block").join(texts, "rep").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).select(F.col("block").alias("b"), F.col("salt").alias("s"), F.col("rep").alias("y"), F.col("text").alias("body"))
+    right = blocks.join(load, "block").join(texts, "rep").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).select(F.col("block").alias("b"), F.col("salt").alias("s"), F.col("rep").alias("y"), "component", F.col("text").alias("body"))
 
     def check(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(xs) and len(ys):
             own = _sets(ys["body"], width)
-            n, ids = np.array([len(s) for s in own]), ys["y"].to_numpy()
+            n, ids, component = np.array([len(s) for s in own]), ys["y"].to_numpy(), ys["component"].to_numpy()
             flat = np.concatenate(own)
             order = np.argsort(flat, kind="stable")
             flat, of = flat[order], np.repeat(np.arange(len(own)), n)[order]
@@ -156,8 +158,8 @@ def confirm(wanted: DataFrame, blocks: DataFrame, texts: DataFrame, width: int,
                 many = high - low
                 at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 common_n = np.bincount(of[at], minlength=len(own))
-                good = (100 * common_n >= percent * (n + len(s) - common_n)) & (ids != x)
-                found += [(x, int(y)) for y in ids[good]]
+                good = np.flatnonzero((100 * common_n >= percent * (n + len(s) - common_n)) & (ids != x))
+                found += [(x, int(ids[good[i]])) for i in np.unique(component[good], return_index=True)[1]]
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return left.groupBy("block", "salt").cogroup(right.groupBy("b", "s")).applyInPandas(check, "u long, v long")
@@ -183,8 +185,8 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     reps = reps.join(real.select(F.col("doc_id").alias("rep"), "signature", F.col("n_shingles").alias("n"), "registers"), ["rep", "signature"]).dropDuplicates(["rep", "signature"]).select("rep", "n", "registers")
     reps = scratch.table(reps, "reps")
     bandrows = scratch.table(band_rows(reps, bands).distinct(), "bands", "none")
-    # a bucket's centre: the member of the least hash, the same one in all buckets that hold it
-    size = bandrows.groupBy("band").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep")).alias("centre")).where("size > 1")
+    # a bucket's centres: the member of the least hash, the same one in all buckets that hold it, and in every other band one of its own
+    size = bandrows.groupBy("band").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep")).alias("centre"), F.min_by("rep", F.xxhash64("rep", "band")).alias("own")).where("size > 1")
     shared = scratch.table(bandrows.join(size, "band"), "shared")
 
     def rated(stream):
@@ -194,26 +196,28 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
                 e = estimate(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(e)], ["x", "y", "e"])
 
-    pairs = shared.where("rep <> centre").select(F.col("rep").alias("x"), F.col("centre").alias("y")).distinct()
+    centres = F.explode(F.array_distinct(F.when(F.col("band") % 2 == 0, F.array("centre", "own")).otherwise(F.array("centre"))))
+    pairs = shared.select(F.col("rep").alias("x"), centres.alias("y")).where("x <> y").distinct()
     side = lambda x, r, n: reps.select(F.col("rep").alias(x), F.col("registers").alias(r), F.col("n").alias(n))
     pairs = pairs.join(side("x", "ra", "na"), "x").join(side("y", "rb", "nb"), "y").mapInArrow(rated, "x long, y long, e double").where(F.col("e") >= threshold - MARGIN)
-    best = scratch.table(pairs.groupBy("x").agg(F.max_by("y", F.struct("e", "y")).alias("y")), "best")
+    likely = F.slice(F.sort_array(F.collect_list(F.struct("e", "y")), asc=False), 1, TRIED)  # at most 1.5 * bands centres in a list
+    best = scratch.table(pairs.groupBy("x").agg(likely.alias("ys")).select("x", F.explode("ys.y").alias("y")), "best")
 
     needed = scratch.table(shared.select(F.col("rep").alias("doc_id")).distinct(), "needed")
     texts = scratch.table(_only(docs, needed, needed.count()).select(F.col("doc_id").alias("rep"), "text").distinct(), "texts")
-    centres = best.select(F.col("y").alias("rep")).distinct().withColumn("block", F.xxhash64("rep"))
+    centres = best.select(F.col("y").alias("rep")).distinct().withColumns({"block": F.xxhash64("rep"), "component": F.col("rep")})
     links = scratch.table(confirm(best.select("x", F.xxhash64("y").alias("block")), centres, texts, width, percent), "links0")
 
     # what is still apart: members of a bucket in several components
     first = components(links, scratch, "first")
-    sizes = first.groupBy("component").agg(F.count("*").alias("of"))
-    placed = needed.withColumnRenamed("doc_id", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").join(sizes, "component", "left")
-    placed = placed.select("rep", F.coalesce("component", "rep").alias("component"), F.xxhash64(F.coalesce("component", "rep"), F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("of", F.lit(1).cast("long")) / F.lit(BLOCK)))).alias("block"))
+    hints = shared.groupBy("rep").agg(F.min_by("centre", F.xxhash64("centre")).alias("hint"))
+    crowd = hints.groupBy("hint").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
+    placed = hints.join(crowd, "hint").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "hint", "blocks", F.xxhash64("hint", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
     placed = scratch.table(placed, "placed")
     rows = shared.select("band", "rep", "size").join(placed, "rep")
     per = rows.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("band", "main")
     rows = rows.join(per, "band").join(reps, "rep").withColumn("subs", F.ceil(F.col("size") / F.lit(SUB)))
-    ys = rows.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))).select("band", "sub", "rep", "component", "block", "n", "registers")
+    ys = rows.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))).select("band", "sub", "rep", "component", "hint", "n", "registers")
     xs = rows.where("component <> main").withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).select(*(F.col(c).alias(f"x_{c}") for c in ("band", "sub", "rep", "component", "n", "registers")))
 
     def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -222,17 +226,19 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
             stack = lambda f: np.frombuffer(b"".join(f["registers"]), np.uint16).reshape(len(f), -1)
             left = left.rename(columns=lambda c: c[2:])
             own, others = stack(left), stack(right)
-            n, comp, block = right["n"].to_numpy(), right["component"].to_numpy(), right["block"].to_numpy()
+            n, comp, hint = right["n"].to_numpy(), right["component"].to_numpy(), right["hint"].to_numpy()
             for i, (x, c, m) in enumerate(zip(left["rep"].tolist(), left["component"].tolist(), left["n"].tolist(), strict=True)):
                 apart = np.flatnonzero((comp != c) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
                 if len(apart):
                     e = estimate(own[i : i + 1], others[apart], np.full(len(apart), m), n[apart])
-                    found.update((x, b) for b in np.unique(block[apart[e >= threshold - MARGIN]]).tolist())
-        return pd.DataFrame(list(found), columns=["x", "block"]).astype("int64")
-
-    wanted = xs.groupBy("x_band", "x_sub").cogroup(ys.groupBy("band", "sub")).applyInPandas(candidates, "x long, block long")
-    wanted = scratch.table(wanted.distinct(), "wanted")
-    blocks = placed.select("rep", "block").join(wanted.select("block").distinct(), "block", "left_semi")
+                    found.update((x, b) for b in np.unique(hint[apart[e >= threshold - MARGIN]]).tolist())
+        return pd.DataFrame(list(found), columns=["x", "hint"]).astype("int64")
+
+    wanted = xs.groupBy("x_band", "x_sub").cogroup(ys.groupBy("band", "sub")).applyInPandas(candidates, "x long, hint long").distinct()
+    # each goes to all blocks of a neighbourhood that holds a likely partner
+    of = placed.select("hint", "block").distinct()
+    wanted = scratch.table(wanted.join(of, "hint").select("x", "block").distinct(), "wanted")
+    blocks = placed.select("rep", "component", "block").join(wanted.select("block").distinct(), "block", "left_semi")
     more = scratch.table(confirm(wanted, blocks, texts, width, percent), "links1")
     # first components stand for the first links: stars are fewer than links
     stars = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
