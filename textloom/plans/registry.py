@@ -156,7 +156,7 @@ def strip_brackets(spark, sf_dir):
 @query()
 def repair_mojibake(spark, sf_dir):
     """STR1, AG4, TOP1: texts misread as Latin-1. No SQL for the codecs; the tests hold it against Python's own."""
-    made = table(spark, sf_dir, "documents").select("doc_id", F.decode(F.encode(c("text"), F.lit("UTF-8")), F.lit("ISO-8859-1")).alias("text"))
+    made = table(spark, sf_dir, "documents").select("doc_id", F.decode(F.encode(c("text"), "UTF-8"), "ISO-8859-1").alias("text"))
     return codec.repair_mojibake(made, "text")
 
 
