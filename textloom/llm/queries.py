@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, lm, mixing, near_dups, neighbours, secrets, substrings, token_counts, token_files, toxicity
+from . import common, decontamination, lm, mixing, near_dups, neighbours, oracle, secrets, substrings, token_counts, token_files, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -74,4 +74,4 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
