@@ -149,8 +149,8 @@ def fit(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, dict]:
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(sums[a, b])], ["a", "b", "n"])
 
     pairs = np.zeros((classes, classes))
-    for r in docs.select("text").mapInArrow(pair, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        pairs[r.a, r.b] = r.n
+    cells = docs.select("text").mapInArrow(pair, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    pairs[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["n"].to_numpy()
     share = np.zeros(classes)  # log10 of each tail class's smoothed total
     for i in range(FREQUENT + 1, classes):
         n, v = totals.get(i, (0, 0))
