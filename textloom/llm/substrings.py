@@ -10,7 +10,7 @@ A suffix array of a whole corpus cannot be spread over machines, so the array is
    more. Within a run, in order of position, the previous smaller position is the longest-previous-factor
    source: a factor of `length` that occurs earlier; the next smaller one of the run's first is a later copy.
    Both are removed here, as the contract asks for all copies. Groups over HOT stretches are counted by a
-   fingerprint of each string instead, with partial sums, so that no task gathers them.
+   fingerprints instead (crowded()), with partial sums, so that no task gathers them.
 
 Work is on distinct texts: rows of equal text share a result and count as one another's copies.
 Defined results: null is the empty text; texts shorter than `length` keep everything; extra columns are ignored.
@@ -29,6 +29,8 @@ from . import common
 LENGTH, SEED = 200, 64
 #: Stretches of one anchor that meet in one suffix array at most, and the bytes of one array.
 HOT, ARRAY_BYTES = 2000, 1 << 20
+#: Starts of a block in groups over HOT.
+EIGHT = 8
 _POS = np.uint64((1 << 27) - 1)
 _MULT = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -226,18 +228,74 @@ def spans(rows: DataFrame, scratch: common.Scratch, length: int = LENGTH) -> Dat
     cold = pieces.where(F.col("digests") <= HOT).repartition(common.parts(total, 8 << 20, 6), "anchor").sortWithinPartitions("anchor", "tid", "size", "first")
     edges = cold.mapInArrow(arrays, "tid long, size long, s int, e int")
 
-    def prints(stream):
+    hot = crowded(pieces.where(F.col("digests") > HOT), scratch, length)
+    return whole.unionByName(edges).unionByName(hot)
+
+
+def crowded(pieces: DataFrame, scratch: common.Scratch, length: int) -> DataFrame:
+    """Spans (tid, size, s, e) in groups too large for one array: counts with partial sums, so no task gathers a group.
+
+    Strings are taken EIGHT starts at a time, aligned by their distance from the anchor. All of a block share a
+    core; where the core is found once, none of them is repeated. Where the whole block repeats, all of them are.
+    Only blocks between the two are looked at string by string, beside one of each repeated block.
+    """
+
+    def digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, flat: Rolling, back: Rolling) -> tuple[np.ndarray, np.ndarray]:
+        return flat.of(begin, end).view(np.int64), back.of(len(raw) - end, len(raw) - begin).view(np.int64)
+
+    def both(blob: bytes) -> tuple[np.ndarray, Rolling, Rolling]:
+        raw = np.frombuffer(blob, np.uint8)
+        return raw, Rolling(raw), Rolling(255 - raw[::-1])
+
+    def cut(stream):
+        names = ("tid", "size", "anchor", "known", "first", "more", "bytes")
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in stream:
-            for tid, size, first, more, known, blob in zip(*(batch.column(c).to_pylist() for c in ("tid", "size", "first", "more", "known", "bytes")), strict=True):
-                raw = np.frombuffer(blob, np.uint8)
-                one, two = Rolling(raw).every(length), Rolling(255 - raw[::-1]).every(length)[::-1]
-                k = more + 1
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)), pa.array(np.full(k, 1 + known, np.int64)), pa.array(np.full(k, tid)), pa.array(np.full(k, size)), pa.array((first + np.arange(k)).astype(np.int32))], ["p", "q", "weight", "tid", "size", "s"])
+            out: list[list] = [[] for _ in types]
+            for tid, size, anchor, known, first, more, blob in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                raw, flat, back = both(blob)
+                place = int(np.flatnonzero(flat.every(SEED)[: length - SEED + 1].view(np.int64) == anchor)[-1])
+                starts = np.arange(more + 1)
+                block = (place - starts) // EIGHT
+                low = np.maximum(0, place - np.unique(block) * EIGHT - EIGHT + 1)
+                high = np.minimum(more, place - np.unique(block) * EIGHT)
+                # the core begins where the block's last possible string begins and ends where its first one ends
+                core = place - np.unique(block) * EIGHT
+                c, d = digests(raw, core, core - EIGHT + 1 + length, flat, back)
+                u, v = digests(raw, low, high + length, flat, back)
+                whole = high - low == EIGHT - 1
+                for i in range(len(core)):
+                    row = (tid, size, 1 + known, c[i], d[i], u[i] if whole[i] else None, v[i] if whole[i] else None, first + low[i], high[i] - low[i], blob[low[i] : high[i] + length])
+                    for o, x in zip(out, row, strict=True):
+                        o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["tid", "size", "weight", "c", "d", "u", "v", "first", "more", "bytes"])
 
-    printed = pieces.where(F.col("digests") > HOT).mapInArrow(prints, "p long, q long, weight long, tid long, size long, s int")
+    def prints(stream):
+        names = ("tid", "size", "weight", "first", "more", "bytes")
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        for batch in stream:
+            out: list[list] = [[] for _ in types]
+            for tid, size, weight, first, more, blob in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                raw, flat, back = both(blob)
+                starts = np.arange(more + 1)
+                p, q = digests(raw, starts, starts + length, flat, back)
+                for o, x in zip(out, (p, q, np.full(more + 1, weight), np.full(more + 1, tid), np.full(more + 1, size), first + starts), strict=True):
+                    o.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, types, strict=True)], ["p", "q", "weight", "tid", "size", "s"])
+
+    blocks = scratch.table(pieces.mapInArrow(cut, "tid long, size long, weight long, c long, d long, u long, v long, first int, more int, bytes binary"), "blocks")
+    cores = blocks.groupBy("c", "d").agg(F.sum("weight").alias("n")).where("n > 1").select("c", "d")
+    alive = scratch.table(blocks.join(cores, ["c", "d"], "left_semi"), "alive")
+    united = alive.where("u is not null").groupBy("u", "v").agg(F.sum("weight").alias("n"), F.min(F.struct("tid", "size", "first", "more", "bytes")).alias("one")).where("n > 1")
+    united = scratch.table(united.select("u", "v", "one.*"), "united")
+    done = alive.join(united.select("u", "v"), ["u", "v"], "left_semi")
+    left = alive.join(united.select("u", "v"), ["u", "v"], "left_anti").select("tid", "size", "weight", "first", "more", "bytes")
+    known = united.select("tid", "size", F.lit(2).cast("long").alias("weight"), "first", "more", "bytes")
+    printed = left.unionByName(known).mapInArrow(prints, "p long, q long, weight long, tid long, size long, s int")
     again = printed.groupBy("p", "q").agg(F.sum("weight").alias("n")).where("n > 1").select("p", "q")
-    hot = printed.where("weight = 1").join(again, ["p", "q"], "left_semi").select(*IDENTITY, "s", (F.col("s") + length).alias("e"))
-    return whole.unionByName(edges).unionByName(hot)
+    single = printed.where("weight = 1").join(again, ["p", "q"], "left_semi").select(*IDENTITY, "s", (F.col("s") + length).alias("e"))
+    return single.unionByName(done.where("weight = 1").select(*IDENTITY, F.col("first").alias("s"), (F.col("first") + F.col("more") + length).alias("e")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
