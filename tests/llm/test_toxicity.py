@@ -42,6 +42,32 @@ def test_windows_cover_everything():
         assert s[0] == 0 and (n <= toxicity.WINDOW or s[-1] + toxicity.WINDOW >= n) and (np.diff(s) <= toxicity.STRIDE).all()
 
 
+def test_pieces_leave_nothing_out():
+    for n in (0, 1, 40, 41, 56, 57, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        got = toxicity.steps("a " + run + " b")
+        pieces = got[1:-1]
+        assert got[0] == "a" and got[-1] == "b" and (n > 40 or pieces == [run] * (n > 0))
+        assert all(any(run[i : i + 6] in p for p in pieces) for i in range(n - 5)) and len(pieces) >= min(n, 1) and all(len(p) <= 40 for p in pieces)
+
+
+def test_toxic_after_a_long_prefix():
+    rng = np.random.default_rng(5)
+    phrases = {"": ["今天天气很好", "我们去公园散步", "老朋友来喝茶", "孩子在海边玩", "他读了一本书", "晚饭后听音乐"], "/": ["sea", "calm", "walk", "park", "friend", "day"]}
+
+    def text(toxic, join):
+        bits = list(rng.choice(phrases[join], 30))
+        if toxic:
+            bits[22] = "scoundrel" if join else "你这个恶棍滚开"
+        return join.join(bits)
+
+    for join in phrases:
+        y = [i % 2 for i in range(200)]
+        net = toxicity.train([text(k, join) for k in y], y)
+        got = toxicity.Scorer(net).score([text(k, join) for k in y]) >= 0.5
+        assert np.mean(got == np.array(y)) > 0.95, join
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score(docs, labels).join(labels, "doc_id").collect()

@@ -12,11 +12,8 @@ DIM, HIDDEN, ATTEND, BUCKETS = 12, 8, 8, 1 << 15
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of each word between marks, flat, and how many each word has: all of 3 and 4, and the prefixes of 3 to 6.
-
-    A word counts by its first 40 characters here.
-    """
-    marked = [f"^{w[:40]}$\0\0\0\0\0" for w in words]
+    """Hashed character n-grams of each word between marks, flat, and how many each word has: all of 3 and 4, and the prefixes of 3 to 6."""
+    marked = [f"^{w}$\0\0\0\0\0" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     codes = np.concatenate([codes, np.zeros(8, np.uint64)])

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling (see gru.py).
 
 Every text is cut into windows of WINDOW words, each overlapping the last by a quarter; all windows are scored,
-and the text's score is that of its worst window. Training: at most PER_CLASS labelled rows of each class
+and the text's score is that of its worst window. A run of over LONGEST characters (a script without blanks, a URL)
+counts as many words: overlapping pieces of PIECE characters, to its end. Training: at most PER_CLASS labelled rows of each class
 (those of the least hashes), from the windows that look most telling; labels, language, source and ids are
 never inputs. Scoring is one map-side pass; a worker holds a bounded table of words.
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common, gru
 
 WINDOW, STRIDE = 48, 36
+#: Longest run that is one word; length of the pieces of longer ones, and from start to start (n-grams have at most six characters).
+LONGEST, PIECE, PIECE_STRIDE = 40, 24, 16
 #: Labelled rows of each class that training reads at most; rounds over the windows; windows in a step.
 PER_CLASS, ROUNDS, BATCH = 1500, 6, 256
 #: A wrong alarm costs as much as so many missed texts where the threshold is set.
@@ -35,6 +38,17 @@ def normal(run: str) -> str:
     return _EDGES.sub("", run.lower())
 
 
+def steps(text: str | None) -> list[str]:
+    """The runs of a text, long ones in pieces."""
+    runs = (text or "").split()
+    if not any(len(r) > LONGEST for r in runs):
+        return runs
+    out = []
+    for r in runs:
+        out += [r] if len(r) <= LONGEST else [r[at : at + PIECE] for at in range(0, len(r) - PIECE + PIECE_STRIDE, PIECE_STRIDE)]
+    return out
+
+
 def windows(n: int) -> np.ndarray:
     """Starts of the windows over n words; one at least."""
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
@@ -59,7 +73,7 @@ def train(texts: list[str], labels: list[int]) -> gru.Network | None:
         return None
     rng = np.random.default_rng(3)
     same: dict[str, str] = {}
-    split = [[same.setdefault(w, w) for w in (normal(r) for r in (t or "").split())] for t in texts]
+    split = [[same.setdefault(w, w) for w in (normal(r) for r in steps(t))] for t in texts]
     del same
     docs = [Counter(), Counter()]
     for words, label in zip(split, labels, strict=True):
@@ -117,7 +131,7 @@ class Scorer:
     def rows(self, texts: list) -> list[np.ndarray]:
         if len(self.row) > REMEMBERED:
             self.row.clear()
-        split = [(t or "").split() for t in texts]
+        split = [steps(t) for t in texts]
         new = list({r for own in split for r in own if r not in self.row})
         if new:
             first, last = len(self.row), len(self.row) + len(new)
