@@ -36,3 +36,27 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_brackets_of_whole_texts(spark, tmp_path):
+    sentence = "one, two. three ] four [ five, six. "
+    texts = ["", None, "[", "a ] b", sentence * 200, "x [" * 40 + "in" + "]" * 39 + " y" * 600, "p" * 900 + " [ lost", "q" * 500 + ", r. " * 300 + "[[a] b] end", "é, 漢. " * 150]
+    docs = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def want(i, t):
+        if t is None:
+            return None
+        made = [t.replace(", ", " [a [b ").replace(". ", " ] c] "), t.replace(", ", " [x] "), t.replace(". ", " ] "), f"{t} [ {t}"][i % 4]
+        depth, out = 0, []
+        for x in made:
+            if x == "[":
+                depth += 1
+            elif x == "]" and depth:
+                depth -= 1
+            elif not depth:
+                out.append(x)
+        return "".join(out)
+
+    got = registry.QUERIES["strip_brackets_whole"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.cleaned for r in got} == {i: want(i, t) for i, t in docs} and len(got) == len(docs)

@@ -65,12 +65,12 @@ def quality_score(c: Column) -> Column:
 def remove_brackets(c: Column, depth: int = 12) -> Column:
     """STR5: text in square brackets goes, nested too; an unmatched opening one takes all that follows, an unmatched closing one stays.
 
-    `depth` innermost levels are removed by expression; deeper nesting (rare) is folded character by character.
+    `depth` innermost levels are removed by expression; deeper nesting (rare) is folded over brackets and what lies between them.
     """
     flat = c
     for _ in range(depth):
         flat = replace(flat, r"\[[^\[\]]*\]", "")
-    chars = F.split(c, "")
+    pieces = F.regexp_extract_all(c, F.lit(r"[\[\]]|[^\[\]]+"), F.lit(0))
     start = F.struct(F.lit(0).alias("d"), F.lit("").alias("out"))
 
     def step(a, x):
@@ -78,7 +78,7 @@ def remove_brackets(c: Column, depth: int = 12) -> Column:
         d = a["d"] + F.when(opens, 1).when(closes, -1).otherwise(0)
         return F.struct(d.alias("d"), F.concat(a["out"], F.when(~opens & ~closes & (a["d"] == 0), x).otherwise("")).alias("out"))
 
-    folded = F.aggregate(chars, start, step, lambda a: a["out"])
+    folded = F.aggregate(pieces, start, step, lambda a: a["out"])
     return F.when(F.regexp_like(flat, F.lit(r"\[[^\[\]]*\]")), folded).otherwise(replace(flat, r"(?s)\[.*", ""))
 
 

@@ -153,6 +153,13 @@ def strip_brackets(spark, sf_dir):
     return made.select("doc_id", T.remove_brackets(F.expr(_BRACKETED)).alias("cleaned"))
 
 
+@query()
+def strip_brackets_whole(spark, sf_dir):
+    """STR5, FOLD6 over whole texts. No SQL, which is too slow by characters; the tests hold it against a plain fold."""
+    made = table(spark, sf_dir, "documents").select("doc_id", c("text").alias("t"))
+    return made.select("doc_id", T.remove_brackets(F.expr(_BRACKETED)).alias("cleaned"))
+
+
 @query()
 def repair_mojibake(spark, sf_dir):
     """STR1, AG4, TOP1: texts misread as Latin-1. No SQL for the codecs; the tests hold it against Python's own."""
