@@ -99,6 +99,19 @@ def drop_rules(spark, sf_dir):
     return made.select("doc_id", *[f.alias(k) for k, f in T.drop_flags(c("line")).items()])
 
 
+_MADE = _LINE.replace("else substr(text, 1, 40)", "else text")
+
+
+@query(f"""with lines as (select doc_id, (i - 1)::int line_no, ls[i] line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, {D.lines('text')} ls from documents)) union all select doc_id, -1, {_MADE} from documents)
+select doc_id, line_no, {', '.join(f'{x} {k}' for k, x in D.drop_flags('line').items())} from lines""")
+def drop_rules_lines(spark, sf_dir):
+    """FLT8, FLT9 on every line of every document, and beside them, as line -1, a made line or the whole text as one."""
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select("doc_id", F.posexplode(T.lines(c("text"))).alias("line_no", "line"))
+    made = docs.select("doc_id", F.lit(-1).alias("line_no"), F.expr(_MADE.replace("''", "\\'")).alias("line"))
+    return own.unionByName(made).select("doc_id", "line_no", *[f.alias(k) for k, f in T.drop_flags(c("line")).items()])
+
+
 _CUES = "(turn + 1) || chr(10) || '00:0' || (turn % 10) || ':01,5' || case when turn % 3 = 0 then '00' else '' end || ' --> 00:0' || (turn % 10) || ':04.250' || case when turn % 2 = 0 then ' align:start' else '' end || chr(10) || text || chr(10) || '  ' || chr(10)"
 
 
@@ -341,6 +354,13 @@ def prompt_build(spark, sf_dir):
     return made.select("doc_id", prompt.alias("prompt"), error.alias("error"))
 
 
+@query(f"select doc_id, case when e is null then {D.q(T.PROMPT_HEAD)} || t || {D.q(T.PROMPT_BODY + _TEMPLATE)} end prompt, e error from (select doc_id, t, case when t = '' then 'empty_context' when regexp_matches(t, '[^\\x00-\\x7F]') then 'non_ascii_context' end e from (select doc_id, {D.trim('text')} t from documents))")
+def prompt_build_whole(spark, sf_dir):
+    """STR18: whole texts as contexts, of every document."""
+    prompt, error = T.system_prompt(c("text"), _TEMPLATE)
+    return table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"), error.alias("error"))
+
+
 @query(f"select doc_id, sha256(text) sha256, sha256(text) <> sha256({D.strip_symbols('text')}) changed from documents")
 def fingerprints(spark, sf_dir):
     """STR20, FLT18, SNK1's test of change."""
