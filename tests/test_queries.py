@@ -73,3 +73,10 @@ def test_every_line_and_whole_context(spark, tmp_path):
     prompts = {r.doc_id: r for r in registry.QUERIES["prompt_build_whole"](spark, str(tmp_path)).collect()}
     assert [prompts[9 * i].error for i in range(5)] == [None, "non_ascii_context", "empty_context", None, "non_ascii_context"]
     assert texts[0].strip() in prompts[0].prompt and texts[3] in prompts[27].prompt
+
+
+def test_numbering_of_all_labels(spark, tmp_path):
+    ids = [0, 1, 2, 30, 39, 40, 79, 81]
+    spark.createDataFrame([(i, 0, 0) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.stem: (r.run_length, r.n_orphans, r.orphans) for r in registry.QUERIES["part_numbering_all"](spark, str(tmp_path)).collect()}
+    assert got == {"d0": (3, 2, "031,040"), "d1": (1, 1, "040"), "d2": (0, 1, "002")}

@@ -281,6 +281,16 @@ def part_numbering(spark, sf_dir):
     return part_files.run_summary(named, "stem", "n")
 
 
+@query("""with p as (select distinct 'd' || (doc_id // 40) stem, (doc_id % 40)::int + 1 n from labels),
+r as (select stem, n, row_number() over (partition by stem order by n) k from p)
+select stem, count(*) filter (where n = k) run_length, count(*) filter (where n > k) n_orphans, coalesce(string_agg(lpad(n::varchar, 3, '0'), ',' order by n) filter (where n > k), '') orphans from r group by stem""")
+def part_numbering_all(spark, sf_dir):
+    """SRC4, SRC5, FLT16, FOLD7: the ids of all labels as part numbers from 1."""
+    own = table(spark, sf_dir, "labels").selectExpr("concat('d', cast(doc_id div 40 as string)) stem", "cast(doc_id % 40 as int) + 1 n").distinct()
+    named = own.withColumn("name", F.concat("stem", F.lit("S"), F.lpad(c("n").cast("string"), 3, "0"), F.lit(".txt"))).withColumn("n", part_files.part_number(c("name"), c("stem"), F.lit(".txt")))
+    return part_files.run_summary(named, "stem", "n")
+
+
 @query("select stem, n from (select 'd' || (doc_id // 40) stem, (doc_id % 40)::int n from labels) join (select 'd' || (doc_id // 40) stem, count(*) c from labels where toxic = 1 group by 1) using (stem) where n > c")
 def part_conflicts(spark, sf_dir):
     """FLT17, SET2."""
