@@ -76,6 +76,17 @@ def test_clean_and_slices(spark, monkeypatch):
         assert sorted(-1 if r.doc_id is None else r.doc_id for r in flags if r.kept) == want and len(flags) == len(docs)
 
 
+def test_figures_do_not_depend_on_slices(spark, monkeypatch):
+    items, docs, left, right = frames(spark)
+    left = left.where("doc_id is null or doc_id != 999")
+    want = sorted((-1 if i is None else i, *brute(t, items)) for i, t in docs[:-1])
+    for limit in (1, 30, 60):
+        monkeypatch.setattr(D, "SLICE", limit)
+        for right_ in (right.coalesce(1), right.repartition(3)):
+            got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_hits, r.n_overlap_words, list(r.item_ids)) for r in D.overlaps(left, right_).collect())
+            assert got == want, limit
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], ITEMS)
     docs = spark.createDataFrame([(1, "a b c d e f", 1)], DOCS)

@@ -8,7 +8,9 @@ whole, and no such overlap is missed. Test hashes are sorted arrays, joined with
 document position by lookup; a hit is verified word by word, so the result does not depend on the seeds.
 
 The benchmark's windows are broadcast in slices of SLICE windows (about 120 bytes each); a larger
-benchmark takes more passes over the documents, never a larger broadcast. One map-side pass, no shuffle.
+benchmark takes more passes over the documents, never a larger broadcast. One map-side pass, no shuffle; with
+several slices, their hits are dealt by document, counted once and their stretches merged, so that figures do not
+depend on where slices end.
 
 Defined results: null or empty texts and items match nothing; items under SHORTEST words match nothing;
 repeated items and documents are reported each; extra columns are ignored; an empty benchmark finds nothing.
@@ -20,13 +22,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW, SHORTEST, SLICE = 13, 5, 200_000
 SCHEMA = "doc_id long, n_hits long, n_overlap_words long, item_ids array<long>"
+#: Of a slice: each hit's first word in the document, its length and its window's key.
+HITS = "doc_id long, at array<long>, words array<long>, window array<long>, item_ids array<long>"
 
 
 def allowed(length: int) -> int:
@@ -55,6 +59,7 @@ class Index:
 
     def __init__(self, windows: np.ndarray, items: list[list[int]]):
         self.windows, self.items, self.length = windows, items, windows.shape[1]
+        self.keys = seed_hashes(windows.T, self.length, list(range(self.length)), self.length)[0].view(np.int64)
         self.seeds = []
         for number, mask in enumerate(masks(self.length)):
             hashes = np.array([seed_hashes(w, self.length, mask, number)[0] for w in windows], np.uint64)
@@ -99,6 +104,7 @@ def indexes(rows: list[tuple[int, str]]) -> list[Index]:
 
 
 def scan(stream, index: list[Index]):
+    """Each document's figures (SCHEMA)."""
     for batch in stream:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         out: list[list] = [[], [], [], []]
@@ -126,6 +132,44 @@ def scan(stream, index: list[Index]):
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["doc_id", "n_hits", "n_overlap_words", "item_ids"])
 
 
+def scan_hits(stream, index: list[Index]):
+    """The hits themselves (HITS) of the documents that have any."""
+    for batch in stream:
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        out: list[list] = [[], [], [], [], []]
+        for begin, end in common.batches(texts):
+            hashes, bounds = common.word_hashes(texts[begin:end])
+            doc_of = np.repeat(np.arange(end - begin), np.diff(bounds))
+            found: list[tuple] = [(np.empty(0, np.int64),) * 4]
+            items: dict[int, set[int]] = {}
+            for x in index:
+                at, which = x.matches(hashes)
+                inside = (doc_of[at] == doc_of[at + x.length - 1]) if len(at) else np.empty(0, bool)
+                at, which = at[inside], which[inside]
+                found.append((doc_of[at], at - bounds[doc_of[at]], np.full(len(at), x.length), x.keys[which]))
+                for d, w in zip(doc_of[at].tolist(), which.tolist(), strict=True):
+                    items.setdefault(d, set()).update(x.items[w])
+            own, *values = (np.concatenate(v) for v in zip(*found, strict=True))
+            order = np.argsort(own, kind="stable")
+            docs, starts = np.unique(own[order], return_index=True)
+            out[0] += [ids[begin + d] for d in docs.tolist()]
+            for k, v in enumerate(values):
+                out[k + 1] += np.split(v[order], starts[1:]) if len(docs) else []
+            out[4] += [sorted(items[d]) for d in docs.tolist()]
+        types = (pa.int64(), *[pa.list_(pa.int64())] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["doc_id", "at", "words", "window", "item_ids"])
+
+
+def _summed(hits: DataFrame) -> DataFrame:
+    """SCHEMA from the hits of several slices: a window at a place counts once, and stretches that share words are merged."""
+    each = hits.selectExpr("doc_id", "inline(arrays_zip(at, words, window))").dropDuplicates(["doc_id", "at", "window"])
+    reached = F.max(F.col("at") + F.col("words")).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("at") + F.col("words") - F.greatest("at", F.coalesce(reached, "at")))
+    figures = each.withColumn("new", new).groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.sum("new").alias("n_overlap_words"))
+    items = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    return figures.join(items, "doc_id")
+
+
 def _slices(benchmark: DataFrame):
     """Benchmark rows in runs of at most SLICE words' worth of windows; the driver holds one run at a time."""
     rows, size = [], 0
@@ -152,13 +196,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             scratch = common.Scratch(spark, "overlaps")
             docs = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
             run = docs.selectExpr("_row doc_id", "text")
-            result = scratch.table(run.mapInArrow(lambda stream: scan(stream, first.value), SCHEMA).where("n_hits > 0"), "hits0")
+            hits = scratch.table(run.mapInArrow(lambda stream: scan_hits(stream, first.value), HITS), "hits0")
         shared = spark.sparkContext.broadcast(indexes(rows))
-        hits = run.mapInArrow(lambda stream, shared=shared: scan(stream, shared.value), SCHEMA).where("n_hits > 0")
-        result = result.unionByName(scratch.table(hits, f"hits{number + 1}"))
+        more = run.mapInArrow(lambda stream, shared=shared: scan_hits(stream, shared.value), HITS)
+        hits = hits.unionByName(scratch.table(more, f"hits{number + 1}"))
     if "_row" in docs.columns:
-        # hits add up over slices; of overlaps, which may share words, the most of one slice is told
-        summed = result.groupBy("doc_id").agg(F.sum("n_hits").alias("n_hits"), F.max("n_overlap_words").alias("n_overlap_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+        summed = _summed(hits)
         none = F.expr("cast(array() as array<bigint>)")
         result = docs.select("_row", "doc_id").join(summed.withColumnRenamed("doc_id", "_row"), "_row", "left").select("doc_id", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), F.coalesce("n_overlap_words", F.lit(0).cast("long")).alias("n_overlap_words"), F.coalesce("item_ids", none).alias("item_ids"))
     flag = F.col("n_hits") > 0
