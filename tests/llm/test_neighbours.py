@@ -49,3 +49,15 @@ def test_few_and_none(spark):
     assert [(r.vec_id, r["rank"]) for r in got] == [(2, 1), (1, 2)]
     assert neighbours.nearest(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     assert neighbours.nearest(spark.createDataFrame([(1, [], "")], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_no_query_is_short_of_neighbours(spark):
+    turn = lambda n, at=0: [(at + i, [float(np.cos(0.2 * i)), float(np.sin(0.2 * i))], "") for i in range(n)]
+    far = [(100 + i, [-1.0, 0.0], "") for i in range(300)]
+    again = [(0, [1.0, 0.1 * i], "") for i in range(1, 9)]
+    for rows, want in [(turn(n), min(5, n - 1)) for n in range(4, 8)] + [(turn(5) + far, 5)]:
+        got = neighbours.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [r["rank"] for r in got] == list(range(1, want + 1)), len(rows)
+        assert [r.vec_id for r in got] == ([1, 2, 3, 4, 5] if len(rows) < 10 else [1, 2, 3, 4, 100])[:want]
+    got = neighbours.nearest(spark.createDataFrame(again + turn(6), SCHEMA), F.col("vec_id") == 0).collect()
+    assert {r.vec_id for r in got} >= {1, 2, 3} and len({r["rank"] for r in got}) == 5

@@ -3,7 +3,8 @@
 Fit, on a bounded sample (SAMPLE rows of the least hashes, on the driver): a random rotation and k-means
 centroids. Every row is then indexed: it goes to its nearest centroid's list, unit length and rotated. A list
 is cut into blocks of about BLOCK rows by hash, so a list of very many equal vectors spreads over tasks.
-A query visits the blocks of its PROBE nearest lists. In a block, rotated vectors lie in column blocks
+A query visits the blocks of its PROBE nearest lists, and of further ones, by nearness, until those visited hold
+`k` rows and as many as any id has (all lists, if they hold fewer), so that none is short of neighbours. In a block, rotated vectors lie in column blocks
 (dimensions first); after each column block a hypothesis test compares the partial distance, scaled up,
 with the query's fifth best so far and abandons candidates that are farther with confidence; those left get
 the exact cosine of the original vectors in double precision. Each block returns its best `k`, merged by rank.
@@ -120,15 +121,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
         half = 0.5 * (centres**2).sum(1)
         for batch in stream:
             points = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.empty((0, dim))
-            near = np.argsort(-(unit(points) @ turn @ centres.T - half), axis=1, kind="stable")[:, :visits] if len(points) else np.empty((0, visits), int)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("q"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "v", "q", "lists"])
+            near = np.argsort(-(unit(points) @ turn @ centres.T - half), axis=1, kind="stable") if len(points) else np.empty((0, len(centres)), int)
+            lists = [x if q else x[:1] for x, q in zip(near.astype(np.int32), batch.column("q").to_pylist(), strict=True)]  # a query may need any list
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("q"), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "q", "lists"])
 
     scratch = common.Scratch(spark, "ann")
     indexed = scratch.table(rows.mapInArrow(assign, "id long, v array<double>, q boolean, lists array<int>"), "index")
     sizes = {r["list"]: r["n"] for r in indexed.groupBy(F.col("lists")[0].alias("list")).agg(F.count("*").alias("n")).collect()}  # a row for each of at most LISTS lists
+    enough = k + indexed.groupBy("id").count().agg(F.max("count")).first()[0]
+    held = F.array(*[F.lit(sizes.get(i, 0)).cast("long") for i in range(len(centroids))])
+    before = lambda i: F.aggregate(F.slice("lists", 1, i), F.lit(0).cast("long"), lambda a, x: a + F.get(held, x))
+    visited = F.filter("lists", lambda _, i: (i < visits) | (before(i) < enough))
     pieces = F.element_at(F.create_map(*[F.lit(int(x)) for i, n in sorted(sizes.items()) for x in (i, common.parts(n, block))]), F.col("list"))
     points = indexed.select(F.col("lists")[0].alias("list"), "id", "v").withColumn("block", F.pmod(F.xxhash64("id", "v"), pieces).cast("int"))
-    queries = indexed.where("q").select(F.explode("lists").alias("list"), "id", "v").where(F.col("list").isin(*map(int, sizes)))
+    queries = indexed.where("q").select(F.explode(visited).alias("list"), "id", "v").where(F.col("list").isin(*map(int, sizes)))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), pieces - 1))).select("list", "block", "id", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
