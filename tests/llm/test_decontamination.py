@@ -87,6 +87,16 @@ def test_figures_do_not_depend_on_slices(spark, monkeypatch):
             assert got == want, limit
 
 
+def test_items_without_id(spark, monkeypatch):
+    left = spark.createDataFrame([(1, "x a b c d e f g y", 1), (2, "h i j k l m", 1), (3, "nothing of that kind in here", 1), (4, "x p q r s t", 1)], DOCS)
+    right = spark.createDataFrame([(None, "a b c d e f g", ""), (7, "h i j k l m", ""), (None, "h i j k l m", ""), (8, None, ""), (None, "p q r s t", "")], ITEMS).coalesce(1)
+    for limit in (D.SLICE, 1):
+        monkeypatch.setattr(D, "SLICE", limit)
+        got = {r.doc_id: (r.n_hits, r.n_overlap_words, r.item_ids, r.kept) for r in D.overlaps(left, right).collect()}
+        assert got == {1: (1, 7, [], False), 2: (1, 6, [7], False), 3: (0, 0, [], True), 4: (1, 5, [], False)}
+        assert [r.doc_id for r in D.clean(left, right).collect()] == [3]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], ITEMS)
     docs = spark.createDataFrame([(1, "a b c d e f", 1)], DOCS)

@@ -12,7 +12,8 @@ benchmark takes more passes over the documents, never a larger broadcast. One ma
 several slices, their hits are dealt by document, counted once and their stretches merged, so that figures do not
 depend on where slices end.
 
-Defined results: null or empty texts and items match nothing; items under SHORTEST words match nothing;
+Defined results: null or empty texts and items match nothing; items with a null id are searched like others, and
+their hits count, but item_ids leaves the null out; items under SHORTEST words match nothing;
 repeated items and documents are reported each; extra columns are ignored; an empty benchmark finds nothing.
 """
 
@@ -91,15 +92,15 @@ class Index:
         return at[good], which[good]
 
 
-def indexes(rows: list[tuple[int, str]]) -> list[Index]:
-    """rows: item_id, text. Equal windows are kept once, with all their items."""
+def indexes(rows: list[tuple[int | None, str]]) -> list[Index]:
+    """rows: item_id, text. Equal windows are kept once, with all their items that have an id."""
     by: dict[int, dict[bytes, set[int]]] = {}
     hashes, bounds = common.word_hashes([t for _, t in rows])
     for (item, _), a, b in zip(rows, bounds[:-1], bounds[1:], strict=True):
         length = min(WINDOW, int(b - a))
         if length >= SHORTEST:
             for i in range(a, b - length + 1):
-                by.setdefault(length, {}).setdefault(hashes[i : i + length].tobytes(), set()).add(item)
+                by.setdefault(length, {}).setdefault(hashes[i : i + length].tobytes(), set()).update([] if item is None else [item])
     return [Index(np.frombuffer(b"".join(w), np.uint64).reshape(-1, n), [sorted(x) for x in w.values()]) for n, w in sorted(by.items())]
 
 
@@ -173,7 +174,7 @@ def _summed(hits: DataFrame) -> DataFrame:
 def _slices(benchmark: DataFrame):
     """Benchmark rows in runs of at most SLICE words' worth of windows; the driver holds one run at a time."""
     rows, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
         n = len(r[1].split()) + 1
         if rows and size + n > SLICE:
             yield rows
