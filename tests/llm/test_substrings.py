@@ -73,3 +73,9 @@ def test_empty_and_null_ids(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = substrings.report(substrings.remove_repeats(spark.createDataFrame([(None, "q" * 300, "", 1), (None, "r", "", 1)], SCHEMA))).collect()
     assert sorted((r.n_bytes, r.n_removed) for r in rows) == [(1, 0), (300, 300)]
+
+
+def test_too_long_texts_are_an_error(monkeypatch):
+    monkeypatch.setattr(substrings, "_POS", np.uint64(1000))
+    with pytest.raises(ValueError, match="128 MB"):
+        substrings.stretches([b"x" * 1001])

@@ -7,13 +7,15 @@ A suffix array of a whole corpus cannot be spread over machines, so the array is
 2. Stretches whose digest repeats are repeated as a whole (the inside of copies, however many there are).
 3. The rest (edges of passages, edits) meet by anchor in chunks of whole groups. A suffix array of their bytes
    (prefix doubling, ranks capped at `length`) gives runs of suffixes whose longest common prefix is `length` or
-   more. Within a run, in order of position, the previous smaller position is the longest-previous-factor
-   source: a factor of `length` that occurs earlier; the next smaller one of the run's first is a later copy.
+   more. Arrays of longest previous factors, from previous and next smaller positions, are not built: only whether
+   a factor reaches `length` matters, and equal capped ranks tell that. In a run, every position but the first has
+   an earlier copy, and the first has a later one.
    Both are removed here, as the contract asks for all copies. Groups over HOT stretches are counted by a
    fingerprints instead (crowded()), with partial sums, so that no task gathers them.
 
 Work is on distinct texts: rows of equal text share a result and count as one another's copies.
-Defined results: null is the empty text; texts shorter than `length` keep everything; extra columns are ignored.
+Defined results: null is the empty text; texts shorter than `length` keep everything; extra columns are ignored;
+a text of over 128 MB ends the job with an error (positions have 27 bits), it is never passed over.
 """
 
 from __future__ import annotations
@@ -131,8 +133,8 @@ def _rank(key: np.ndarray) -> np.ndarray:
 def repeated_starts(contexts: list[bytes], starts: list[int], known: list[bool], length: int = LENGTH) -> list[np.ndarray]:
     """Of each context's first starts[i] suffixes, which share `length` bytes with another one of any context, or with a known repeated one.
 
-    Positions in suffix order: equal ranks are runs with a common prefix of `length`; a position with a smaller
-    one in its run has a previous factor, the smallest has later copies.
+    Equal ranks, capped at `length`, are runs with a common prefix of `length`; all positions of a run of two or
+    more are repeated. They stand in for longest previous factors.
     """
     sizes = np.array([len(c) for c in contexts])
     rank = ranks(np.frombuffer(b"".join(contexts), np.uint8), length)
