@@ -3,10 +3,11 @@
 A file set is a Parquet table of shards (any Hadoop file system), in ascending doc_id order. A shard's
 payload is: magic, version, id width, dictionary hash, document count, (offset, tokens) of each document,
 then the frames. A document is read by its offset without touching the others. The dictionary is a table
-of one row beside the shards. Frames are compressed before the only shuffle, a range partitioning by doc_id.
+of one row beside the shards. Frames are compressed before the only large shuffle, a range partitioning by doc_id and, where ids repeat, by content.
 
-Defined results: null text is empty (only the end id); equal doc_ids stand next to each other, ordered by
-their content; null doc_ids come first; an empty table gives empty files; extra columns are ignored.
+Defined results: null text is empty (only the end id); equal doc_ids stand next to each other, ordered by their number
+of tokens and a hash of their frame; null doc_ids come first; a text of any length is one frame, encoded whole in one
+task; an empty table gives empty files; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +29,15 @@ from . import common, vocab
 MAGIC, VERSION = b"LOOMIDS\0", 1
 HEAD = struct.Struct("<8sHH32sI")
 ENTRY = struct.Struct("<QQ")
-#: Documents whose ids train the dictionary (those of the least hashes), its bytes, and the compression level.
-SAMPLE_DOCS, DICT_BYTES, LEVEL = 512, 32 << 10, 3
+#: Documents whose ids train the dictionary, the longest of them, the dictionary's bytes, and the compression level.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 512, 50_000, 32 << 10, 3
 #: A shard is closed at so many bytes or documents.
 SHARD_BYTES, SHARD_DOCS = 2 << 20, 4096
 SHARDS = "shard_part int, shard_no int, first_id long, last_id long, n_docs int, n_tokens long, doc_ids array<long>, payload binary"
 
 
-def train_dictionary(docs: DataFrame, spec: str, end_id: int) -> bytes:
-    """A dictionary from a bounded sample; where there is too little to train on, the samples themselves serve as content."""
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE_DOCS).collect()
-    encoder = vocab.Encoder(spec)
-    end = end_id.to_bytes(encoder.width, "little")
-    samples = [encoder.encode(r.text) + end for r in rows]
+def dictionary_of(samples: list[bytes]) -> bytes:
+    """A trained dictionary; where there is too little to train on, the samples themselves serve as content."""
     samples = [s[i : i + 8192] for s in samples for i in range(0, len(s), 8192)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -48,6 +45,27 @@ def train_dictionary(docs: DataFrame, spec: str, end_id: int) -> bytes:
         return b"".join(samples)[-DICT_BYTES:] or bytes(8)
 
 
+def train_dictionary(docs: DataFrame, spec, end_id: int) -> tuple[bytes, int]:
+    """The dictionary and the id width, from one task over a bounded sample; spec: the tokenizer's file, broadcast.
+
+    Sampled are the SAMPLE_DOCS different documents of least hashes among those of up to SAMPLE_CHARS characters: the
+    dictionary is for short documents. A hash threshold set by the row count keeps each task's share of them small.
+    """
+    key = F.xxhash64("doc_id", "text")
+    fitting = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    picked = fitting.withColumn("key", key).where(common.rarer(F.col("key"), SAMPLE_DOCS, docs.count())).groupBy("key").agg(F.min("text").alias("text"))
+
+    def run(stream):
+        encoder = vocab.worker(vocab.Encoder, spec.value)
+        rows = sorted(r for batch in stream for r in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True))
+        end = end_id.to_bytes(encoder.width, "little")
+        content = dictionary_of([encoder.encode(t) + end for _, t in rows[:SAMPLE_DOCS]])
+        yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary()), pa.array([encoder.width], pa.int32())], ["dictionary", "width"])
+
+    row = picked.repartition(1).mapInArrow(run, "dictionary binary, width int").first()
+    return (bytes(row.dictionary), row.width) if row else (dictionary_of([]), 4)  # no document, no task
+
+
 def pack(rows: list[tuple[int, int, bytes]], width: int, digest: bytes) -> bytes:
     """rows: doc_id, tokens, frame."""
     at, index = 0, []
@@ -74,15 +92,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> N
     common.tidy(spark)
     spec = Path(tokenizer_path).read_text()
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    dictionary = train_dictionary(docs, spec, end_id)
+    source = spark.sparkContext.broadcast(spec)
+    dictionary, width = train_dictionary(docs, source, end_id)
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(bytearray(dictionary), digest.hex())], "dictionary binary, sha256 string").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
-    shared = spark.sparkContext.broadcast((spec, dictionary))
 
     def encode(stream):
-        source, content = shared.value
-        encoder = vocab.worker(vocab.Encoder, source)
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content))
+        encoder = vocab.worker(vocab.Encoder, source.value)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         end = end_id.to_bytes(encoder.width, "little")
         for batch in stream:
             raw = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
@@ -91,7 +108,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> N
                 ["doc_id", "n_tokens", "frame"],
             )
 
-    width = vocab.Encoder(spec).width
     scratch = common.Scratch(spark, "ids")
     frames = scratch.table(docs.mapInArrow(encode, "doc_id long, n_tokens long, frame binary"), "frames", "none")
     size = frames.agg(F.sum(F.length("frame").cast("long"))).first()[0] or 0
@@ -115,9 +131,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> N
         if rows:
             yield close()
 
-    ordered = frames.repartitionByRange(common.parts(size, 32 << 20, 4), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
+    # rows of one doc_id (or none) may be many: they spread by content, and equal ones by where they were written
+    ties = frames.withColumns({"_hash": F.xxhash64("frame"), "_row": F.monotonically_increasing_id()})
+    order = ["doc_id", "n_tokens", "_hash", "_row"]
+    ordered = ties.repartitionByRange(common.parts(size, 32 << 20, 4), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
     ordered.mapInArrow(shard, SHARDS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/shards")
     scratch.drop("frames")
+    source.destroy()
 
 
 SHARD_NAMES = [x.split()[0] for x in SHARDS.split(", ")]
@@ -136,19 +156,17 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
     Starts: sums by range partition (as many rows as partitions) are added up in one task, then shards within their partition.
     """
-    common.tidy(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    common.tidy(spark)  # batches are cut by bytes: a few shards each
     shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
     sums = shards.groupBy("shard_part").agg(F.sum("n_tokens").alias("part_tokens"))
     sums = sums.select("shard_part", (F.sum("part_tokens").over(Window.orderBy("shard_part")) - F.col("part_tokens")).alias("part_start"))
     starts = shards.select("shard_part", "shard_no", "n_tokens").join(sums, "shard_part")
     within = F.sum("n_tokens").over(Window.partitionBy("shard_part").orderBy("shard_no")) - F.col("n_tokens")
     starts = starts.select("shard_part", "shard_no", (F.col("part_start") + within).alias("shard_start"))
-    shared = spark.sparkContext.broadcast(_dictionary(spark, path))
+    content, digest = _dictionary(spark, path)
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def decode(stream):
-        content, digest = shared.value
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
         for batch in stream:
             for ids, begin, payload in zip(batch.column("doc_ids").to_pylist(), batch.column("shard_start").to_pylist(), batch.column("payload").to_pylist(), strict=True):

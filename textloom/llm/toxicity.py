@@ -3,15 +3,18 @@
 Every text is cut into windows of WINDOW words, each overlapping the last by a quarter; all windows are scored,
 and the text's score is that of its worst window. A run of over LONGEST characters (a script without blanks, a URL)
 counts as many words: overlapping pieces of PIECE characters, to its end. Training: at most PER_CLASS labelled rows of each class
-(those of the least hashes), from the windows that look most telling; labels, language, source and ids are
-never inputs. Scoring is one map-side pass; a worker holds a bounded table of words.
+(those of the least hashes, of up to TRAIN_CHARS characters), from the windows that look most telling; labels, language,
+source and ids are never inputs. Scoring is one map-side pass; a worker holds a bounded table of words.
 
-Defined results: null and empty texts are one empty window and score low but defined; equal rows score
-equally; with no labels of one class, all scores are 0.0; extra columns are ignored; empty tables give none.
+Defined results: null and empty texts are one empty window and score low but defined; equal rows score equally, and
+repeated ids, null ones too, are rows of their own; a text of any length is scored whole, in pieces of memory;
+with no labels of one class, all scores are 0.0; extra columns are ignored by score and kept by clean, whatever
+their names; empty tables give none.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
@@ -25,8 +28,8 @@ from . import common, gru
 WINDOW, STRIDE = 48, 36
 #: Longest run that is one word; length of the pieces of longer ones, and from start to start (n-grams have at most six characters).
 LONGEST, PIECE, PIECE_STRIDE = 40, 24, 16
-#: Labelled rows of each class that training reads at most; rounds over the windows; windows in a step.
-PER_CLASS, ROUNDS, BATCH = 1500, 6, 256
+#: Labelled rows of each class that training reads at most, and the longest; rounds over the windows; windows in a step.
+PER_CLASS, TRAIN_CHARS, ROUNDS, BATCH = 1500, 200_000, 6, 256
 #: A wrong alarm costs as much as so many missed texts where the threshold is set.
 ALARM_COST = 5
 REMEMBERED = 500_000
@@ -160,16 +163,32 @@ def crc(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> gru.Network | None:
-    """Trains on the driver, on a bounded sample of labelled rows outside the held-out fifth."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(crc() % 5 != 0)
-    ranked = [known.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS).collect() for k in (0, 1)]
-    chosen = [(r.doc_id, r.toxic) for rows in ranked for r in rows]
-    if not chosen:
+    """Trains in one task, on a bounded sample of labelled rows outside the held-out fifth.
+
+    Sampled are PER_CLASS ids of each class, of least hashes, and for each the least of its texts that has up to
+    TRAIN_CHARS characters. A hash threshold set by the class's size keeps what reaches the driver (ids) and the task bounded.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(crc() % 5 != 0).distinct()
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return None
+    key = F.xxhash64("doc_id")
+    near = known.where(F.when(F.col("toxic") == 1, common.rarer(key, PER_CLASS, sizes[1])).otherwise(common.rarer(key, PER_CLASS, sizes[0])))
+    ranked = sorted((r.key, r.doc_id, r.toxic) for r in near.withColumn("key", key).collect())
+    chosen = [(i, t) for k in (0, 1) for _, i, t in [r for r in ranked if r[2] == k][:PER_CLASS]]
     wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    rows = sorted({(r.doc_id, r.text or "", r.toxic) for r in found.collect()})
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS)
+    found = texts.join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def run(stream):
+        rows = sorted(r for batch in stream for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
+        net = train([r[1] for r in rows], [r[2] for r in rows])
+        if net:
+            net.moments = {}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    trained = found.repartition(1).mapInArrow(run, "net binary").first()  # no row, no task
+    return pickle.loads(trained.net) if trained else None
 
 
 def _score(stream, net, names: list[str], keep_below: float | None):

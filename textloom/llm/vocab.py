@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile(BLANK)
-#: Runs that each of a worker's two generations remembers.
-REMEMBERED = 300_000
+#: Runs, and pre-tokens, that each of a worker's two generations remembers, and the longest in characters.
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 
 
 def runs(text: str) -> list[str]:
@@ -74,18 +74,39 @@ _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETT
 _WIDE = re.compile("[^\x00-\xff]")
 
 
-class Remembered(dict):
-    """Run -> what it encodes to. Two generations of at most REMEMBERED runs: what is used again moves to the newer one."""
+class Memo(dict):
+    """What was computed before. Two generations of at most REMEMBERED keys: what is used again moves to the newer one.
 
-    def __init__(self, spec: str):
+    Keys over LONGEST_REMEMBERED characters are computed each time, so a worker's memory has a bound in bytes.
+    """
+
+    def __init__(self, compute):
         super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, key: str):
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Words:
+    """The tokenizer's view of runs and pre-tokens; both kinds of results are remembered, runs often being a known pre-token and marks."""
+
+    def __init__(self, spec: str):
         fixed = json.loads(spec)
-        self.older: dict = {}
         self.tokenizer = Tokenizer.from_str(spec)
         self.pattern = regex.compile(fixed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = re.compile("|".join(re.escape(t["content"]) for t in fixed["added_tokens"]) or "(?!)")
-        self.first = {t["content"][0] for t in fixed["added_tokens"]}
+        self.first = re.compile("[" + "".join({re.escape(t["content"][0]) for t in fixed["added_tokens"]}) + "]" if fixed["added_tokens"] else "(?!)")
         self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        self.runs, self.pieces = Memo(self.run), Memo(self.piece)
 
     def pretokens(self, run: str) -> list[str]:
         """Latin-1 needs no normal form and lowers letter by letter; anything else goes through the library's normaliser."""
@@ -96,60 +117,57 @@ class Remembered(dict):
     def merge(self, pretoken: str) -> list:
         return self.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))
 
-    def __missing__(self, run: str):
-        value = self.older.pop(run, None)
-        if value is None:
-            value = self.compute(run)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[run] = value
-        return value
-
 
-class Counter(Remembered):
+class Counter(Words):
     """Run -> number of tokens. A pre-token that is a proven whole token counts one; only the rest are merged."""
 
     def __init__(self, spec: str, whole: set[str]):
         super().__init__(spec)
         self.whole = whole
 
-    def compute(self, run: str) -> int:
+    def piece(self, pretoken: str) -> int:
+        return 1 if pretoken in self.whole else len(self.merge(pretoken))
+
+    def run(self, run: str) -> int:
         total, pieces = 0, [run]
-        if any(c in run for c in self.first):
+        if self.first.search(run):
             pieces = self.special.split(run)
             total = len(pieces) - 1
         for piece in pieces:
-            for pretoken in self.pretokens(piece) if piece else ():
-                total += 1 if pretoken in self.whole else len(self.merge(pretoken))
+            if piece:
+                total += sum(map(self.pieces.__getitem__, self.pretokens(piece)))
         return total
 
     def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, runs(text)))
+        return sum(map(self.runs.__getitem__, runs(text)))
 
 
-class Encoder(Remembered):
+class Encoder(Words):
     """Run -> its token ids, as the library gives them, packed little-endian in `width` bytes each."""
 
     def __init__(self, spec: str):
         super().__init__(spec)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
-    def compute(self, run: str) -> bytes:
-        if _WIDE.search(run) or any(c in run for c in self.first):
-            ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        else:
-            ids = [t.id for pretoken in self.pretokens(run) for t in self.merge(pretoken)]
+    def packed(self, ids: list[int]) -> bytes:
         return b"".join([i.to_bytes(self.width, "little") for i in ids])
 
+    def piece(self, pretoken: str) -> bytes:
+        return self.packed([t.id for t in self.merge(pretoken)])
+
+    def run(self, run: str) -> bytes:
+        if _WIDE.search(run) or self.first.search(run):
+            return self.packed(self.tokenizer.encode(run, add_special_tokens=False).ids)
+        return b"".join(map(self.pieces.__getitem__, self.pretokens(run)))
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, runs(text)))
+        return b"".join(map(self.runs.__getitem__, runs(text)))
 
 
 _worker: dict = {}
 
 
-def worker(kind: type[Remembered], *args) -> Remembered:
+def worker(kind: type[Words], *args) -> Words:
     """The worker process's own table, kept from task to task."""
     key = (kind, hash(args[0]))
     if key not in _worker:
