@@ -1,7 +1,7 @@
 """A word-level view of the public vocabulary: which strings are whole tokens, and what a run of non-blank characters encodes to.
 
 White space separates pre-tokens and is dropped by the tokenizer, so a text's tokens are those of its
-white-space separated runs, one after the other. Runs repeat often and are remembered in a bounded table.
+white-space separated runs, one after the other. Pre-tokens repeat often and are remembered in a bounded table.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile(BLANK)
-#: Runs, and pre-tokens, that each of a worker's two generations remembers, and the longest in characters.
-REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
+#: Runs, and pre-tokens, that each of a worker's two generations remembers, and the longest in characters; characters looked at at once.
+REMEMBERED, LONGEST_REMEMBERED, SLICE = 400_000, 64, 1 << 20
 
 
 def runs(text: str) -> list[str]:
@@ -27,6 +27,28 @@ def runs(text: str) -> list[str]:
     return text.split()
 
 
+def slices(text: str):
+    """The text in slices of about SLICE characters, cut at white space, so that a long text's pre-tokens are never held at once."""
+    at = 0
+    while len(text) - at > SLICE:
+        blank = _BLANKS.search(text, at + SLICE)
+        if blank is None:
+            break
+        yield text[at : blank.start()]
+        at = blank.end()
+    yield text[at:]
+
+
+def is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else from U+0100 on."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -70,7 +92,7 @@ def prove_whole(spec: str) -> set[str]:
 
 #: The pre-token pattern within lower-case Latin-1, where letters and digits can be listed.
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}\\t-\\r \\x85\\xa0]+")
 _WIDE = re.compile("[^\x00-\xff]")
 
 
@@ -97,71 +119,77 @@ class Memo(dict):
 
 
 class Words:
-    """The tokenizer's view of runs and pre-tokens; both kinds of results are remembered, runs often being a known pre-token and marks."""
+    """The tokenizer's view of a text: special strings, then pre-tokens; what a pre-token gives is remembered.
+
+    A Latin-1 text is cut into pre-tokens at once. Other texts go run by run, for most of their runs are Latin-1 or known.
+    """
 
     def __init__(self, spec: str):
         fixed = json.loads(spec)
         self.tokenizer = Tokenizer.from_str(spec)
         self.pattern = regex.compile(fixed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in fixed["added_tokens"]) or "(?!)")
-        self.first = re.compile("[" + "".join({re.escape(t["content"][0]) for t in fixed["added_tokens"]}) + "]" if fixed["added_tokens"] else "(?!)")
+        self.special = {t["content"]: t["id"] for t in fixed["added_tokens"]}
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")" if self.special else "(?!)")
         self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
-        self.runs, self.pieces = Memo(self.run), Memo(self.piece)
+        self.pieces, self.runs = Memo(self.piece), Memo(self.run)
 
-    def pretokens(self, run: str) -> list[str]:
+    def merge(self, pretoken: str) -> list:
+        return self.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))
+
+    def run(self, run: str):
         """Latin-1 needs no normal form and lowers letter by letter; anything else goes through the library's normaliser."""
         if not _WIDE.search(run):
-            return _LATIN.findall(run.lower())
-        return self.pattern.findall(self.tokenizer.normalizer.normalize_str(run))
+            return self.joined(map(self.pieces.__getitem__, _LATIN.findall(run.lower())))
+        return self.joined(map(self.pieces.__getitem__, self.pattern.findall(self.tokenizer.normalizer.normalize_str(run))))
 
-    def merge(self, pretoken: str) -> list:
-        return self.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))
+    def parts(self, text: str):
+        """What the text's pre-tokens, runs and special strings give, in order."""
+        for slice_ in slices(text):
+            for i, part in enumerate(self.specials.split(slice_) if any(x in slice_ for x in self.special) else (slice_,)):
+                if i % 2:
+                    yield self.found(part)
+                elif is_latin(part):
+                    yield self.joined(map(self.pieces.__getitem__, _LATIN.findall(part.lower())))
+                else:
+                    yield self.joined(map(self.runs.__getitem__, runs(part)))
 
 
 class Counter(Words):
-    """Run -> number of tokens. A pre-token that is a proven whole token counts one; only the rest are merged."""
+    """Text -> number of tokens. A pre-token that is a proven whole token counts one; only the rest are merged."""
+
+    joined = staticmethod(sum)
 
     def __init__(self, spec: str, whole: set[str]):
         super().__init__(spec)
         self.whole = whole
 
+    def found(self, special: str) -> int:
+        return 1
+
     def piece(self, pretoken: str) -> int:
         return 1 if pretoken in self.whole else len(self.merge(pretoken))
 
-    def run(self, run: str) -> int:
-        total, pieces = 0, [run]
-        if self.first.search(run):
-            pieces = self.special.split(run)
-            total = len(pieces) - 1
-        for piece in pieces:
-            if piece:
-                total += sum(map(self.pieces.__getitem__, self.pretokens(piece)))
-        return total
-
     def count(self, text: str) -> int:
-        return sum(map(self.runs.__getitem__, runs(text)))
+        return sum(self.parts(text))
 
 
 class Encoder(Words):
-    """Run -> its token ids, as the library gives them, packed little-endian in `width` bytes each."""
+    """Text -> its token ids, as the library gives them, packed little-endian in `width` bytes each."""
+
+    joined = b"".join
 
     def __init__(self, spec: str):
         super().__init__(spec)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
-    def packed(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+    def found(self, special: str) -> bytes:
+        return self.special[special].to_bytes(self.width, "little")
 
     def piece(self, pretoken: str) -> bytes:
-        return self.packed([t.id for t in self.merge(pretoken)])
-
-    def run(self, run: str) -> bytes:
-        if _WIDE.search(run) or self.first.search(run):
-            return self.packed(self.tokenizer.encode(run, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, self.pretokens(run)))
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.merge(pretoken)])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.runs.__getitem__, runs(text)))
+        return b"".join(self.parts(text))
 
 
 _worker: dict = {}
