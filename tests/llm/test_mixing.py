@@ -53,6 +53,21 @@ def test_mixed_documents(spark):
     assert abs(words - 1.5 * sum(len((r[1] or "").split()) for r in rows)) < 2500
 
 
+def test_mixed_keeps_clashing_columns(spark):
+    rows = [(i, "w " * (10 + i), "ab"[i % 2], 777, -5, i, 0) for i in range(40)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, _row long, _doc int, taken int")).collect()
+    assert {tuple(r) for r in got} <= set(rows) and len(got) > 40
+
+
+def test_one_id_holds_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    rows = [(7, "w " * (1 + i % 5), "a") for i in range(300)] + [(None, "w", "a")] * 50 + [(7, "", "b")] * 80 + [(i, "w " * 30, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, again = ([tuple(r) for r in mixing.taken(d, block=32).collect()] for d in (docs, docs.repartition(7)))
+    assert sorted(got, key=str) == sorted(again, key=str) and len(got) == len(rows)
+    assert abs(sum(r[4] for r in got) - 1.5 * sum(r[1] for r in got)) <= 2 and all(r[4] <= 2 * r[1] for r in got)
+
+
 def test_empty(spark):
     assert mixing.taken(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in mixing.taken(spark.createDataFrame([(1, None, None, None, None)], SCHEMA)).collect()] == [(1, 0, 0, 0.0, 0)]
