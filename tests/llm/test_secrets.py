@@ -56,3 +56,9 @@ def test_join_beyond_the_broadcast_bound(spark, monkeypatch, limit):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_work_is_near_linear_in_matches(spark):
+    words = ["0123456789abcdef01234567"] * 64_000
+    got = secrets.scan(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert len(got.spans) == 64_000 and [(x.s, x.e) for x in got.spans[-2:]] == [(25 * 63_998, 25 * 63_998 + 24), (25 * 63_999, 25 * 63_999 + 24)]

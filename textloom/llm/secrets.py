@@ -6,7 +6,8 @@ with the expression. A rule without mandatory trigrams (hex) scans every text. C
 counted before they are joined back: broadcast up to BROADCAST_ROWS, by a sort-merge join beyond.
 
 Defined results: null text is empty; a null doc_id is a candidate of every rule; rows with equal doc_ids
-share postings, which only widens their candidates; every row is returned once; extra columns are ignored.
+share postings, which only widens their candidates; every row is returned once; a text of any length is scanned whole,
+in one task; overlapping spans of several rules are all kept, ordered by start and rule; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ RULES = (
 )
 #: Candidate ids (8 bytes and a mask) that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Matches of a text whose places are summed up together.
+CHUNK = 128
 #: Alternatives of one literal stretch that are followed at most; beyond, the stretch gives no trigrams.
 MOST_STRINGS = 64
 
@@ -144,16 +147,19 @@ NONE = "cast(array() as array<struct<s:int,k:int,e:int>>)"
 def spans_of(rule: Rule, number: int, text: str = "text") -> str:
     """SQL for a rule's spans in a text: structs of start, kind number and end, in code points.
 
-    Matches and the pieces between them alternate, so their lengths give the places.
+    Matches and the pieces between them alternate, so running sums of their lengths give the places. Appending copies
+    an array, so sums run within stretches of CHUNK matches, and over stretches: work is far from quadratic.
     """
     p = _literal(rule.pattern)
-    start, end = "a.at + length(x.`0`)", "a.at + length(x.`0`) + length(x.`1`)"
-    return f"""case when rlike({text}, {p}) then aggregate(
-        arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {rule.group})),
-        named_struct('at', 0, 'out', {NONE}),
-        (a, x) -> named_struct('at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'out',
-            case when length(x.`2`) >= {rule.least} then concat(a.out, array(named_struct('s', {start}, 'k', {number}, 'e', {end}))) else a.out end),
-        a -> a.out) else {NONE} end"""
+    lengths = f"""transform(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {rule.group})),
+        x -> named_struct('before', length(x.`0`), 'own', coalesce(length(x.`1`), 0), 'counted', length(x.`2`)))"""
+    stretches = f"transform(sequence(0, cast((size(l) - 1) div {CHUNK} as int)), i -> slice(l, i * {CHUNK} + 1, {CHUNK}))"
+    begins = """aggregate(stretches, named_struct('at', 0, 'out', cast(array() as array<int>)),
+        (a, c) -> named_struct('at', a.at + aggregate(c, 0, (t, x) -> t + x.before + x.own), 'out', concat(a.out, array(a.at))), a -> a.out)"""
+    own = f"""aggregate(c, named_struct('at', b, 'out', {NONE}), (a, x) -> named_struct('at', a.at + x.before + x.own, 'out', case when x.counted >= {rule.least}
+        then concat(a.out, array(named_struct('s', a.at + x.before, 'k', {number}, 'e', a.at + x.before + x.own))) else a.out end), a -> a.out)"""
+    bound = f"transform(transform(array({lengths}), l -> {stretches}), stretches -> flatten(zip_with(stretches, {begins}, (c, b) -> {own})))[0]"
+    return f"case when rlike({text}, {p}) then {bound} else {NONE} end"
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
