@@ -85,12 +85,38 @@ def test_empty(spark):
     assert near_dups.groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_clean_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 5, "k", 9), (1, "a b c d e f", 5, "k", 9), (2, "x y z", 6, None, 8)]
+    kept = near_dups.clean(spark.createDataFrame(rows, "doc_id long, text string, _first int, kept string, doc int"))
+    assert sorted(map(tuple, kept.collect())) == sorted(set(rows))
+
+
 def test_estimates():
     rng = np.random.default_rng(1)
-    factors = near_dups.multipliers(600)
-    a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
-    for shared in (2000, 1800, 1500, 0):
-        b = np.concatenate([a[:shared], rng.integers(0, 2**63, 2000 - shared, dtype=np.uint64)])
-        e = near_dups.estimate(near_dups.registers(a, factors)[None], near_dups.registers(b, factors)[None], np.array([2000]), np.array([2000]))[0]
-        assert abs(e - shared / (4000 - shared)) < 0.07
+    for n in (12, 100, 2000):
+        m, kept = 600, []
+        for share in (1.0, 0.9, 0.75, 0.0):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            shared = int(n * share)
+            b = np.concatenate([a[:shared], rng.integers(0, 2**63, n - shared, dtype=np.uint64)])
+            x, y = near_dups.registers([a, b], m)
+            by = near_dups.shares(np.array([n, n]), m)
+            e = near_dups.corrected((x == y).mean(), by[0] @ by[1])
+            assert abs(e - shared / (2 * n - shared)) < 0.09
+            kept.append(e)
+        assert kept[0] == 1
+    one = near_dups.registers([np.array([7], np.uint64), a], 120)
+    assert (one[0] == near_dups.registers([np.array([7], np.uint64)], 120)[0]).all()
     assert (1 - 0.85**near_dups.ROWS) ** near_dups.bands_for(0.85) <= near_dups.MISS
+
+
+def test_registers_agree_with_the_chance_of_the_similarity():
+    """Over many pairs of short sets, the share of agreeing registers is the Jaccard similarity."""
+    rng, m = np.random.default_rng(2), 120
+    for n, shared in ((7, 6), (40, 36), (150, 138)):
+        got = []
+        for _ in range(300):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            x, y = near_dups.registers([a, np.concatenate([a[:shared], rng.integers(0, 2**63, n - shared, dtype=np.uint64)])], m)
+            got.append((x == y).mean())
+        assert abs(np.mean(got) - shared / (2 * n - shared)) < 0.02

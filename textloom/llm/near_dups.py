@@ -1,7 +1,9 @@
 """Near-duplicates by HyperMinHash sketches, banding, collision-corrected estimates and exact verification.
 
-1. Each text's set of word shingles gives a signature of the set and `bands * ROWS` registers: the minimum of
-   a hash of its own, kept as leading-zero count and mantissa bits. Equal sets collapse to one representative.
+1. Each text's set of word shingles gives a signature of the set and a HyperMinHash of `bands * ROWS` buckets: one
+   hash deals each shingle to a bucket, whose register keeps the least rest of a hash as leading-zero count and
+   mantissa bits. Buckets that stay empty (short sets) are filled by further rounds with another hash each, so
+   that every register agrees with the chance of the Jaccard similarity. Equal sets collapse to one representative.
 2. Bands of ROWS registers bucket the representatives. A pair at the threshold shares no bucket with
    probability (1 - t**ROWS)**bands, at most MISS.
 3. First every representative is compared with its best-estimated bucket centres; confirmed links are merged.
@@ -12,8 +14,9 @@
 4. Components by alternating large and small stars; every round is written to the shared folder.
 
 Defined results: texts without words (null too) have an empty set, link with nothing, and are kept; rows with
-a null doc_id take no part (null component, kept); rows of one doc_id are one node; extra columns are ignored;
-an empty table gives an empty result.
+a null doc_id take no part (null component, kept); rows of one doc_id are one node; a text of any length is one set,
+held whole in one task; equal texts are one node of the search, so ties between them cannot arise; extra columns,
+whatever their names, are ignored by groups and kept by clean; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -58,47 +61,59 @@ def shingle_sets(texts: list, width: int):
             yield np.empty(0, np.uint64)
 
 
-def multipliers(m: int) -> np.ndarray:
-    return np.random.default_rng(90210).integers(0, 2**63, m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_REST = np.uint64((1 << 48) - 1)
 
 
-def registers(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The minimum under each hash, as 6 bits of leading zeros and MANTISSA bits that follow the leading one."""
-    least = np.full(len(factors), np.uint64(2**64 - 1))
-    for at in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[at : at + 1024, None] * factors).min(0), out=least)
-    mantissa, exponent = np.frexp(least.astype(np.float64))
-    zeros = np.minimum(63, 64 - np.minimum(exponent, 64))
-    bits = np.minimum(((mantissa - 0.5) * 2 * (1 << MANTISSA)).astype(np.int64), (1 << MANTISSA) - 1)
-    return (zeros * (1 << MANTISSA) + np.maximum(bits, 0)).astype(np.uint16)
+def registers(sets: list[np.ndarray], m: int) -> np.ndarray:
+    """A row of m registers for each set that is not empty: 6 bits of leading zeros and MANTISSA bits that follow the leading one.
 
+    Rounds double while some bucket is empty; the earliest round that reaches a bucket fills it.
+    """
+    best = np.full(len(sets) * m, np.uint64(2**64 - 1))
+    open_, turn, at_once = np.arange(len(sets)), 0, 1
+    while len(open_):
+        owner = np.repeat(open_, [len(sets[i]) for i in open_.tolist()])
+        flat = np.concatenate([sets[i] for i in open_.tolist()])
+        for number in range(turn, turn + at_once):
+            h = common.mix(flat ^ np.uint64((number + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            place = owner * m + (((h >> np.uint64(48)) * np.uint64(m)) >> np.uint64(16)).astype(np.int64)
+            np.minimum.at(best, place, (h & _REST) | np.uint64(number << 48))
+        turn, at_once = turn + at_once, min(turn + at_once, 64)
+        empty = (best == np.uint64(2**64 - 1)).reshape(-1, m).any(1)
+        open_ = open_[empty[open_]]
+    least = (best & _REST).astype(np.float64)
+    mantissa, exponent = np.frexp(least)
+    bits = np.clip(((mantissa - 0.5) * 2 * (1 << MANTISSA)).astype(np.int64), 0, (1 << MANTISSA) - 1)
+    return ((48 - exponent) * (1 << MANTISSA) + bits).astype(np.uint16).reshape(-1, m)
 
-def collision(n: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The chance that registers of unrelated sets of these sizes agree: summed over cells of leading zeros (mantissa cells share them evenly)."""
-    edges = 0.5 ** np.arange(64)
-    share = lambda s: (1 - edges[1:]) ** s[:, None] - (1 - edges[:-1]) ** s[:, None]
-    return (share(n.astype(float)) * share(other.astype(float))).sum(1) / (1 << MANTISSA)
 
+def shares(n: np.ndarray, m: int) -> np.ndarray:
+    """For sets of these sizes, the chance of each number of leading zeros in a register; a row for each set, computed once for each size."""
+    sizes, of = np.unique(n, return_inverse=True)
+    edges, each = 0.5 ** np.arange(50), np.maximum(sizes[:, None] / m, 1.0)
+    return ((1 - edges[1:]) ** each - (1 - edges[:-1]) ** each)[of]
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of register rows, with the expected accidental agreement taken out."""
-    by_chance = collision(n, other)
-    return ((a == b).mean(1) - by_chance) / (1 - by_chance)
+
+def corrected(agree: np.ndarray, by_zeros: np.ndarray) -> np.ndarray:
+    """Jaccard estimates from the share of agreeing registers, the accidental agreement taken out: equal zeros (by_zeros), then equal mantissas."""
+    by_chance = by_zeros / (1 << MANTISSA)
+    return (agree - by_chance) / (1 - by_chance)
 
 
 def sketch(docs: DataFrame, width: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, signature (of the set), registers."""
 
     def run(stream):
-        factors = multipliers(bands * ROWS)
         for batch in stream:
             texts, n, signature, regs = batch.column("text").to_pylist(), [], [], []
             for begin, end in common.batches(texts):
-                for s in shingle_sets(texts[begin:end], width):
+                sets = list(shingle_sets(texts[begin:end], width))
+                rows = iter(registers([s for s in sets if len(s)], bands * ROWS))
+                for s in sets:
                     n.append(len(s))
                     turned = common.mix(s ^ np.uint64(0xA0761D6478BD642F))
                     signature.append(np.array([turned.sum(dtype=np.uint64), (turned * common.mix(s)).sum(dtype=np.uint64)], np.uint64).tobytes())
-                    regs.append(registers(s, factors).tobytes() if len(s) else b"")
+                    regs.append(next(rows).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "signature", "registers"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, signature binary, registers binary")
@@ -179,7 +194,8 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = scratch.table(sketch(docs, width, bands), "sketches")
     real = sketches.where("n_shingles > 0 and doc_id is not null")
-    same = real.groupBy("signature", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join below can split a key of very many copies
+    same = scratch.table(real.groupBy("signature", "n_shingles").agg(F.min("doc_id").alias("rep")), "same")
     members = scratch.table(real.select("doc_id", "signature", "n_shingles").join(same, ["signature", "n_shingles"]).select("doc_id", "rep", "signature"), "members")
     reps = members.where("doc_id = rep").select("rep", "signature").distinct()
     reps = reps.join(real.select(F.col("doc_id").alias("rep"), "signature", F.col("n_shingles").alias("n"), "registers"), ["rep", "signature"]).dropDuplicates(["rep", "signature"]).select("rep", "n", "registers")
@@ -193,7 +209,8 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
         for batch in stream:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("ra", "rb"))
-                e = estimate(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+                of = [shares(batch.column(c).to_numpy(), a.shape[1]) for c in ("na", "nb")]
+                e = corrected((a == b).mean(1), (of[0] * of[1]).sum(1))
                 yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(e)], ["x", "y", "e"])
 
     centres = F.explode(F.array_distinct(F.when(F.col("band") % 2 == 0, F.array("centre", "own")).otherwise(F.array("centre"))))
@@ -216,25 +233,33 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     placed = scratch.table(placed, "placed")
     rows = shared.select("band", "rep", "size").join(placed, "rep")
     per = rows.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("band", "main")
-    rows = rows.join(per, "band").join(reps, "rep").withColumn("subs", F.ceil(F.col("size") / F.lit(SUB)))
-    ys = rows.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))).select("band", "sub", "rep", "component", "hint", "n", "registers")
-    xs = rows.where("component <> main").withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).select(*(F.col(c).alias(f"x_{c}") for c in ("band", "sub", "rep", "component", "n", "registers")))
+    rows = rows.join(per, "band").withColumn("subs", F.ceil(F.col("size") / F.lit(SUB)))
+    rows = scratch.table(rows.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))).select("band", "rep", "component", "main", "hint", "subs", "sub"), "rows")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))
+    # a large bucket is cut on both sides: a task gets one piece of each, so none holds a whole bucket
+    ys = rows.withColumn("other", every).join(reps, "rep").select("band", F.col("other").alias("left"), F.col("sub").alias("right"), "rep", "component", "hint", "n", "registers")
+    xs = rows.where("component <> main").withColumn("other", every).join(reps, "rep").select(F.col("band").alias("x_band"), F.col("sub").alias("x_left"), F.col("other").alias("x_right"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "registers")))
 
     def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = set()
         if len(left) and len(right):
-            stack = lambda f: np.frombuffer(b"".join(f["registers"]), np.uint16).reshape(len(f), -1)
-            left = left.rename(columns=lambda c: c[2:])
-            own, others = stack(left), stack(right)
-            n, comp, hint = right["n"].to_numpy(), right["component"].to_numpy(), right["hint"].to_numpy()
-            for i, (x, c, m) in enumerate(zip(left["rep"].tolist(), left["component"].tolist(), left["n"].tolist(), strict=True)):
-                apart = np.flatnonzero((comp != c) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            stack = lambda f: np.frombuffer(b"".join(f), np.uint16).reshape(len(f), -1)
+            own, others = stack(left["x_registers"]), stack(right["registers"])
+            m = own.shape[1]
+            sizes, n = left["x_n"].to_numpy(), right["n"].to_numpy()
+            of, by = shares(sizes, m), shares(n, m)
+            comp, hint, ids = right["component"].to_numpy(), right["hint"].to_numpy(), left["x_rep"].tolist()
+            for i, (c, k) in enumerate(zip(left["x_component"].tolist(), sizes.tolist(), strict=True)):
+                apart = np.flatnonzero((comp != c) & (100 * np.minimum(n, k) >= percent * np.maximum(n, k)))
                 if len(apart):
-                    e = estimate(own[i : i + 1], others[apart], np.full(len(apart), m), n[apart])
-                    found.update((x, b) for b in np.unique(hint[apart[e >= threshold - MARGIN]]).tolist())
+                    e = corrected(np.count_nonzero(others[apart] == own[i], axis=1) / m, by[apart] @ of[i])
+                    found.update((ids[i], b) for b in np.unique(hint[apart[e >= threshold - MARGIN]]).tolist())
         return pd.DataFrame(list(found), columns=["x", "hint"]).astype("int64")
 
-    wanted = xs.groupBy("x_band", "x_sub").cogroup(ys.groupBy("band", "sub")).applyInPandas(candidates, "x long, hint long").distinct()
+    # dealt by the number of rows, not by bytes: comparing, not reading, is the work
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = common.parts(rows.where("component <> main").agg(F.sum("subs")).first()[0] or 0, 2000, least)
+    wanted = xs.repartition(count, "x_band", "x_left", "x_right").groupBy("x_band", "x_left", "x_right").cogroup(ys.repartition(count, "band", "left", "right").groupBy("band", "left", "right")).applyInPandas(candidates, "x long, hint long").distinct()
     # each goes to all blocks of a neighbourhood that holds a likely partner
     of = placed.select("hint", "block").distinct()
     wanted = scratch.table(wanted.join(of, "hint").select("x", "block").distinct(), "wanted")
@@ -252,14 +277,15 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
 
 
 def clean(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: that of the smallest doc_id, once; columns as they came."""
+    """One document of each group: that of the smallest doc_id, once (the text of the least hash, where texts differ); columns as they came."""
     spark = docs.sparkSession
     gone = common.Scratch(spark, "gone")
-    found = gone.table(groups(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.bool_and("kept").alias("_kept")), "groups")
-    dropped = found.where("not _kept").select("doc_id")
+    found = gone.table(groups(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("kept").alias("kept")), "groups")
+    dropped = found.where("not kept").select("doc_id")
     n = dropped.count()
-    kept = docs.join(F.broadcast(dropped) if n <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("_n > 1 and _kept").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("_first", F.row_number().over(first)).where("doc_id is null or _first = 1").drop("_first")
+    kept = docs.join(F.broadcast(dropped) if n <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    if found.where("rows > 1 and kept").limit(1).count():
+        whole = kept.select(F.struct(*(kept[f"`{c}`"] for c in docs.columns)).alias("doc"))  # no column can clash
+        once = whole.where("doc.doc_id is not null").groupBy(F.col("doc.doc_id")).agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc")).select("doc")
+        kept = once.unionByName(whole.where("doc.doc_id is null")).select("doc.*")
     return kept
