@@ -7,6 +7,7 @@ import uuid
 import weakref
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,3 +137,19 @@ def batches(texts: list, most: int = 1 << 21):
         size += n
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def whole_groups(stream, keys: list[str]):
+    """Of batches sorted by integer key columns: tables of whole groups, and where each group begins (with the end of the last)."""
+    held = None
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        values = [table.column(k).to_numpy() for k in keys]
+        starts = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts
+        held = table.slice(starts[-1])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])

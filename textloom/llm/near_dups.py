@@ -237,29 +237,31 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     rows = scratch.table(rows.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))).select("band", "rep", "component", "main", "hint", "subs", "sub"), "rows")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))
     # a large bucket is cut on both sides: a task gets one piece of each, so none holds a whole bucket
-    ys = rows.withColumn("other", every).join(reps, "rep").select("band", F.col("other").alias("left"), F.col("sub").alias("right"), "rep", "component", "hint", "n", "registers")
-    xs = rows.where("component <> main").withColumn("other", every).join(reps, "rep").select(F.col("band").alias("x_band"), F.col("sub").alias("x_left"), F.col("other").alias("x_right"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "registers")))
-
-    def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = set()
-        if len(left) and len(right):
-            stack = lambda f: np.frombuffer(b"".join(f), np.uint16).reshape(len(f), -1)
-            own, others = stack(left["x_registers"]), stack(right["registers"])
-            m = own.shape[1]
-            sizes, n = left["x_n"].to_numpy(), right["n"].to_numpy()
-            of, by = shares(sizes, m), shares(n, m)
-            comp, hint, ids = right["component"].to_numpy(), right["hint"].to_numpy(), left["x_rep"].tolist()
-            for i, (c, k) in enumerate(zip(left["x_component"].tolist(), sizes.tolist(), strict=True)):
-                apart = np.flatnonzero((comp != c) & (100 * np.minimum(n, k) >= percent * np.maximum(n, k)))
-                if len(apart):
-                    e = corrected(np.count_nonzero(others[apart] == own[i], axis=1) / m, by[apart] @ of[i])
-                    found.update((ids[i], b) for b in np.unique(hint[apart[e >= threshold - MARGIN]]).tolist())
-        return pd.DataFrame(list(found), columns=["x", "hint"]).astype("int64")
+    ys = rows.withColumn("other", every).select("band", F.col("other").alias("left"), F.col("sub").alias("right"), F.lit(0).alias("side"), "rep", "component", "hint")
+    xs = rows.where("component <> main").withColumn("other", every).select("band", F.col("sub").alias("left"), F.col("other").alias("right"), F.lit(1).alias("side"), "rep", "component", "hint")
+
+    def candidates(stream):
+        names = ("side", "rep", "component", "hint", "n")
+        for table, starts in common.whole_groups(stream, ["band", "left", "right"]):
+            side, rep, comp, hint, n = (table.column(c).to_numpy() for c in names)
+            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(rep), -1)
+            by, m, found = shares(n, regs.shape[1]), regs.shape[1], set()
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                xs_from = a + int(np.searchsorted(side[a:b], 1))
+                for x in range(xs_from, b):
+                    k = n[x]
+                    apart = a + np.flatnonzero((comp[a:xs_from] != comp[x]) & (100 * np.minimum(n[a:xs_from], k) >= percent * np.maximum(n[a:xs_from], k)))
+                    if len(apart):
+                        e = corrected(np.count_nonzero(regs[apart] == regs[x], axis=1) / m, by[apart] @ by[x])
+                        found.update((int(rep[x]), h) for h in hint[apart[e >= threshold - MARGIN]].tolist())
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "hint"])
 
     # dealt by the number of rows, not by bytes: comparing, not reading, is the work
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least, key = int(spark.conf.get("spark.sql.shuffle.partitions")), ["band", "left", "right"]
     count = common.parts(rows.where("component <> main").agg(F.sum("subs")).first()[0] or 0, 2000, least)
-    wanted = xs.repartition(count, "x_band", "x_left", "x_right").groupBy("x_band", "x_left", "x_right").cogroup(ys.repartition(count, "band", "left", "right").groupBy("band", "left", "right")).applyInPandas(candidates, "x long, hint long").distinct()
+    both = ys.unionByName(xs).join(reps, "rep").repartition(count, *key).sortWithinPartitions(*key, "side")
+    wanted = both.select(*key, "side", "rep", "component", "hint", "n", "registers").mapInArrow(candidates, "x long, hint long").distinct()
     # each goes to all blocks of a neighbourhood that holds a likely partner
     of = placed.select("hint", "block").distinct()
     wanted = scratch.table(wanted.join(of, "hint").select("x", "block").distinct(), "wanted")
