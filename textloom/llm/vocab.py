@@ -17,7 +17,7 @@ BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile(BLANK)
 #: Runs, and pre-tokens, that each of a worker's two generations remembers, and the longest in characters; characters looked at at once.
-REMEMBERED, LONGEST_REMEMBERED, SLICE = 400_000, 64, 1 << 20
+REMEMBERED, LONGEST_REMEMBERED, SLICE = 200_000, 64, 1 << 20
 
 
 def runs(text: str) -> list[str]:
