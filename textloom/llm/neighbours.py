@@ -30,11 +30,11 @@ from . import common
 #: Most lists (their number is the square root of the rows); bytes of the sample that rotation and centroids are fitted on; rows of a block.
 LISTS, SAMPLE_BYTES, BLOCK = 1024, 128 << 20, 2048
 #: Recall that the number of visited lists is set for, by so many of the sample's rows asked against the sample.
-RECALL, ASKED = 0.95, 400
+RECALL, ASKED = 0.97, 400
 #: Sampled rows that give each query its first limit; queries that are held against a block at once.
 BOUNDING, QUERIES = 4096, 256
-#: Dimensions of a column block, and the test's strictness (standard errors of the partial distance).
-COLUMNS, EPSILON = 16, 2.1
+#: Dimensions of a column block, the test's strictness (standard errors of the partial distance), and the share of alive pairs (one in FEW) that go one by one.
+COLUMNS, EPSILON, FEW = 16, 3.0, 24
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -102,32 +102,35 @@ def block_search(queries: np.ndarray, ids: np.ndarray, bounds: np.ndarray, origi
     for begin in range(0, len(queries), QUERIES):
         part = slice(begin, begin + QUERIES)
         q, limit = unit(queries[part]), bounds[part].copy()
-        turned, n = q @ rotation, len(q)
-        # the first column block of all pairs at once, then those alive as pairs
-        a, b = turned[:, :COLUMNS], rotated[:, :COLUMNS]
-        near = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0)
-        near[ids[part][:, None] == own] = np.inf
-        # the k that look nearest are measured whole, for their k-th is never below the true k-th, and are never abandoned
-        likely = np.argpartition(near, k - 1, axis=1)[:, :k] if near.shape[1] > k else np.tile(np.arange(near.shape[1]), (n, 1))
-        if likely.shape[1] == k:
-            whole = ((q[:, None] - points[likely]) ** 2).sum(2)
-            whole[np.isinf(np.take_along_axis(near, likely, 1))] = np.inf
-            limit = np.minimum(limit, whole.max(1))
-        allowed = lambda seen: (limit * (1 + EPSILON / np.sqrt(seen)) ** 2 + 1e-9) * (seen / dim) if seen < dim else limit + 1e-9  # noqa: B023, E731
-        seen = min(COLUMNS, dim)
-        alive = near <= allowed(seen)[:, None]
-        np.put_along_axis(alive, likely, True, 1)
-        row, at = np.nonzero(alive & np.isfinite(near))
-        partial = near[row, at]
+        turned, n, seen = q @ rotation, len(q), 0
+        partial = np.where(ids[part][:, None] == own, np.inf, 0.0)
+        alive, row = np.isfinite(partial), None
         while seen < dim:
             to = min(seen + COLUMNS, dim)
-            partial = partial + ((turned[row, seen:to] - rotated[at, seen:to]) ** 2).sum(1)
+            if row is None:  # while many are alive: all pairs of the column block at once
+                a, b = turned[:, seen:to], rotated[:, seen:to]
+                partial += np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0)
+                best = np.argpartition(np.where(alive, partial, np.inf), k - 1, axis=1)[:, :k] if len(own) > k else np.tile(np.arange(len(own)), (n, 1))
+                at, who = best.ravel(), np.repeat(np.arange(n), best.shape[1])
+            else:  # few are left: pair by pair
+                partial = partial + ((turned[row, seen:to] - rotated[at, seen:to]) ** 2).sum(1)
             seen = to
-            best = partial <= kth(row, partial, n, k)[row]
-            if seen < dim:
-                limit = np.minimum(limit, kth(row[best], ((q[row[best]] - points[at[best]]) ** 2).sum(1), n, k))
-            stay = best | (partial <= allowed(seen)[row])
-            row, at, partial = row[stay], at[stay], partial[stay]
+            wide = (limit * (1 + EPSILON / np.sqrt(seen)) ** 2) * (seen / dim) + 1e-9 if seen < dim else limit + 1e-9
+            if row is None:
+                # the k nearest so far are measured whole, for their k-th is never below the true k-th, and are never abandoned
+                if seen < dim and best.shape[1] == k:
+                    whole = ((q[who] - points[at]) ** 2).sum(1)
+                    whole[~alive[who, at]] = np.inf
+                    limit = np.minimum(limit, whole.reshape(n, k).max(1))
+                stay = partial <= wide[:, None]
+                stay[who, at] = True
+                alive &= stay
+                if np.count_nonzero(alive) * FEW < alive.size or seen == dim:
+                    row, at = np.nonzero(alive)
+                    partial = partial[row, at]
+            else:
+                stay = (partial <= wide[row]) | (partial <= kth(row, partial, n, k)[row])
+                row, at, partial = row[stay], at[stay], partial[stay]
         stay = partial <= kth(row, partial, n, k)[row] + 1e-9
         row, at = row[stay], at[stay]
         scores = cosine(queries[part][row], original[at])
