@@ -58,7 +58,7 @@ def test_brackets_of_whole_texts(spark, tmp_path):
                 out.append(x)
         return "".join(out)
 
-    got = registry.QUERIES["strip_brackets_whole"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["strip_brackets"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.cleaned for r in got} == {i: want(i, t) for i, t in docs} and len(got) == len(docs)
 
 
@@ -66,11 +66,11 @@ def test_every_line_and_whole_context(spark, tmp_path):
     texts = ["plain\nsee www.')en here\n", "a" * 70 + " 漢字", "", "x " * 50 + "\nu/me\nR/abc\n\nend", "b" * 70 + " é", None]
     docs = [(9 * i, t, "en", "web") for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = registry.QUERIES["drop_rules_lines"](spark, str(tmp_path)).where("line_no >= 0").collect()
+    got = registry.QUERIES["drop_rules"](spark, str(tmp_path)).where("line_no >= 0").collect()
     assert len(got) == sum(len(t.removesuffix("\n").split("\n")) for t in texts if t is not None)
     told = {(r.doc_id, r.line_no): {k for k in ("is_empty", "is_community", "has_url", "has_cjk") if r[k]} for r in got}
     assert {k: v for k, v in told.items() if v} == {(0, 1): {"has_url"}, (9, 0): {"has_cjk"}, (18, 0): {"is_empty"}, (27, 1): {"is_community"}, (27, 2): {"is_community"}, (27, 3): {"is_empty"}}
-    prompts = {r.doc_id: r for r in registry.QUERIES["prompt_build_whole"](spark, str(tmp_path)).collect()}
+    prompts = {r.doc_id: r for r in registry.QUERIES["prompt_build"](spark, str(tmp_path)).collect()}
     assert [prompts[9 * i].error for i in range(5)] == [None, "non_ascii_context", "empty_context", None, "non_ascii_context"]
     assert texts[0].strip() in prompts[0].prompt and texts[3] in prompts[27].prompt
 
@@ -78,5 +78,5 @@ def test_every_line_and_whole_context(spark, tmp_path):
 def test_numbering_of_all_labels(spark, tmp_path):
     ids = [0, 1, 2, 30, 39, 40, 79, 81]
     spark.createDataFrame([(i, 0, 0) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = {r.stem: (r.run_length, r.n_orphans, r.orphans) for r in registry.QUERIES["part_numbering_all"](spark, str(tmp_path)).collect()}
+    got = {r.stem: (r.run_length, r.n_orphans, r.orphans) for r in registry.QUERIES["part_numbering"](spark, str(tmp_path)).collect()}
     assert got == {"d0": (3, 2, "031,040"), "d1": (1, 1, "040"), "d2": (0, 1, "002")}

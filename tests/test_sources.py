@@ -1,5 +1,6 @@
 """Files, catalog pages, index splicing and the stream."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import catalog, clean
@@ -15,7 +16,11 @@ def test_reading_and_changes(spark, tmp_path):
     (tmp_path / "note.md").write_text("no")
     found = text_files.read(spark, [str(tmp_path), str(tmp_path / "a")], recursive=True)
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in found.collect()}
-    assert set(got) == {"one.txt", "Two.TXT", "bad.txt"} and got["bad.txt"] == (None, "invalid_utf8")
+    assert set(got) == {"one.txt", "bad.txt"} and got["bad.txt"] == (None, "invalid_utf8")  # by case within folders
+    named = text_files.read(spark, [str(tmp_path / "a" / "Two.TXT"), str(tmp_path / "note.md"), str(tmp_path / "a")]).orderBy("place", "path").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in named] == ["Two.TXT", "one.txt"]
+    with pytest.raises(FileNotFoundError):
+        text_files.read(spark, [str(tmp_path / "none")])
     assert got["one.txt"][0] == "This sentence has enough words.\nNo.\n"
     good = found.where("error is null").drop("error")
     changed = text_files.changed_only(good, clean.clean_text(good)).collect()

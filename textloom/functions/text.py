@@ -67,9 +67,9 @@ def remove_brackets(c: Column, depth: int = 12) -> Column:
 
     `depth` innermost levels are removed by expression; deeper nesting (rare) is folded over brackets and what lies between them.
     """
-    flat = c
+    inner = c
     for _ in range(depth):
-        flat = replace(flat, r"\[[^\[\]]*\]", "")
+        inner = replace(inner, r"\[[^\[\]]*\]", "")
     pieces = F.regexp_extract_all(c, F.lit(r"[\[\]]|[^\[\]]+"), F.lit(0))
     start = F.struct(F.lit(0).alias("d"), F.lit("").alias("out"))
 
@@ -79,7 +79,7 @@ def remove_brackets(c: Column, depth: int = 12) -> Column:
         return F.struct(d.alias("d"), F.concat(a["out"], F.when(~opens & ~closes & (a["d"] == 0), x).otherwise("")).alias("out"))
 
     folded = F.aggregate(pieces, start, step, lambda a: a["out"])
-    return F.when(F.regexp_like(flat, F.lit(r"\[[^\[\]]*\]")), folded).otherwise(replace(flat, r"(?s)\[.*", ""))
+    return let(inner, lambda flat: F.when(F.regexp_like(flat, F.lit(r"\[[^\[\]]*\]")), folded).otherwise(replace(flat, r"(?s)\[.*", "")))
 
 
 def preprocess(c: Column) -> Column:
@@ -330,6 +330,10 @@ PROMPT_HEAD = (
 PROMPT_BODY = "\n\n# Translation Instructions\n\n"
 
 
+#: The request around a part's path.
+USER_HEAD, USER_TAIL = "\n\n---\nОбработай файл на диске: ", "\nПереведи его содержимое на русский и упрости согласно инструкции выше.\nПерезапиши этот же файл результатом."
+
+
 def system_prompt(context: Column, template: str) -> tuple[Column, Column]:
     """STR18: the prompt (null on error), and the error: empty_context, non_ascii_context or null."""
     if not template.strip():
@@ -342,3 +346,8 @@ def system_prompt(context: Column, template: str) -> tuple[Column, Column]:
 def fingerprint(content: Column) -> Column:
     """STR20."""
     return F.sha2(content.cast("binary"), 256)
+
+
+def user_message(path: Column, prompt: Column) -> Column:
+    """STR19: the request for one part: the instructions, a rule, where the part lies and what to do with it."""
+    return F.concat(F.trim(prompt), F.lit(USER_HEAD), path, F.lit(USER_TAIL))

@@ -35,13 +35,23 @@ def clean_sentences(frame: DataFrame, column: str = "text", min_words: int = MIN
     return found.where((F.col("n_sig") >= min_words) & ~T.should_drop(F.col("sentence")))
 
 
+def good_sentences(c: Column, min_words: int = MIN_WORDS) -> Column:
+    """The sentences of a text that stay, as an array: what ORC9 keeps, for use within one expression."""
+    return F.filter(T.split_sentences(c), lambda s: kept(s, min_words))
+
+
 def filter_normalized(frame: DataFrame, column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """ORC9: column becomes one sentence a line; `error` tells empty_input, no_sentences or all_filtered (then the column is null)."""
-    own = T.split_sentences(F.col(column))
-    good = F.filter("_sentences", lambda s: kept(s, min_words))
-    out = frame.withColumn("_blank", F.coalesce(T.is_blank(F.col(column)), F.lit(True))).withColumn("_sentences", own).withColumn("_good", good)
-    error = F.when(F.col("_blank"), "empty_input").when(F.size("_sentences") == 0, "no_sentences").when(F.size("_good") == 0, "all_filtered")
-    return out.withColumn("error", error).withColumn(column, F.when(F.col("error").isNull(), F.array_join("_good", "\n"))).drop("_blank", "_sentences", "_good")
+    def judged(own):
+        return T.let(F.filter(own, lambda s: kept(s, min_words)), lambda good: F.struct(
+            F.when(F.size(own) == 0, "no_sentences").when(F.size(good) == 0, "all_filtered").alias("error"), F.array_join(good, "\n").alias("text")))
+
+    blank = F.coalesce(T.is_blank(F.col(column)), F.lit(True))
+    none = F.struct(F.lit("empty_input").alias("error"), F.lit("").alias("text"))
+    # sentences are split once, within one expression
+    result = F.when(blank, none).otherwise(T.let(T.split_sentences(F.col(column)), judged))
+    error = F.col("_judged.error")
+    return frame.withColumn("_judged", result).withColumn("error", error).withColumn(column, F.when(error.isNull(), F.col("_judged.text"))).drop("_judged")
 
 
 def clean_text(frame: DataFrame, column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

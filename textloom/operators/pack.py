@@ -12,31 +12,27 @@ from ..functions import text as T
 MAX_LINES, MAX_CHARS, MAX_PLAIN = 300, 10_000, 12_000
 
 
-def grouped(values: Column, ids: Column, sep: str) -> Column:
-    """Joins neighbours of one id; ids ascend. Linear: each group is a slice."""
+def grouped(values: Column, starts: Column, sep: str) -> Column:
+    """Joins the values from each start to the next. Linear: each group is a slice."""
     def cut(both):
-        values, ids = both["v"], both["i"]
-        n = F.size(ids)
-        first = F.filter(F.transform(ids, lambda x, i: F.when((i == 0) | (x != F.get(ids, i - 1)), i)), lambda i: i.isNotNull())
-        return T.let(first, lambda at: F.transform(at, lambda s, j: F.array_join(F.slice(values, s + 1, F.coalesce(F.get(at, j + 1), n) - s), sep)))
+        values, at = both["v"], both["at"]
+        return F.transform(at, lambda s, j: F.array_join(F.slice(values, s + 1, F.coalesce(F.get(at, j + 1), F.size(values)) - s), sep))
 
-    return T.let(F.struct(values.alias("v"), ids.alias("i")), cut)
+    return T.let(F.struct(values.alias("v"), starts.alias("at")), cut)
 
 
-def greedy_ids(lengths: Column, max_items: int, max_chars: int, alone: int | None) -> Column:
-    """The part of each item: a new one where lines or characters would exceed; items over `alone` stand for themselves."""
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("items"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("ids"))
+def greedy_starts(lengths: Column, max_items: int, max_chars: int, alone: int | None) -> Column:
+    """Where parts begin: where lines or characters would exceed; items over `alone` stand for themselves. Only starts are kept in the fold."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("items"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("starts"))
 
     def step(a, n):
         big = F.lit(False) if alone is None else n > alone
-        over = (a["items"] > 0) & ((a["items"] + 1 > max_items) | (a["chars"] + n + 1 > max_chars))
-        fresh = (big & (a["items"] > 0)) | over
-        part = a["part"] + F.when(fresh, 1).otherwise(0)
-        items = F.when(big, 0).when(over, 1).otherwise(a["items"] + 1)
-        chars = F.when(big, 0).when(over | (a["items"] == 0), n).otherwise(a["chars"] + n + 1)
-        return F.struct((part + F.when(big, 1).otherwise(0)).alias("part"), items.alias("items"), chars.alias("chars"), F.concat(a["ids"], F.array(part)).alias("ids"))
+        fresh = (a["items"] == 0) | big | (a["items"] + 1 > max_items) | (a["chars"] + n + 1 > max_chars)
+        items = F.when(big, 0).when(fresh, 1).otherwise(a["items"] + 1)
+        chars = F.when(fresh, n).otherwise(a["chars"] + n + 1)
+        return F.struct((a["i"] + 1).alias("i"), items.alias("items"), chars.alias("chars"), F.when(fresh, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"))
 
-    return F.aggregate(lengths, start, step, lambda a: a["ids"])
+    return F.aggregate(lengths, start, step, lambda a: a["starts"])
 
 
 def slices(token: Column, width: int) -> Column:
@@ -54,29 +50,38 @@ def pack_chars(c: Column, max_chars: int = MAX_PLAIN) -> Column:
 
     def many(flat):
         pieces = F.flatten(F.transform(F.split(flat, " "), piece))
-        return T.let(pieces, lambda p: grouped(F.transform(p, lambda x: x["t"]), greedy_ids(F.transform(p, lambda x: x["n"]), 1 << 30, max_chars, max_chars), " "))
+        return T.let(pieces, lambda p: grouped(F.transform(p, lambda x: x["t"]), greedy_starts(F.transform(p, lambda x: x["n"]), 1 << 30, max_chars, max_chars), " "))
 
     return T.let(T.trim(T.replace(c, f"{C.WS}+", " ")), lambda flat: F.when(flat == "", none).when(F.length(flat) <= max_chars, F.array(flat)).otherwise(many(flat)))
 
 
-def by_chars(c: Column, own: Column, max_plain: int = MAX_PLAIN) -> Column:
-    """FLT14."""
-    few = (F.size(own) <= 3) & (F.array_max(F.transform(own, F.length)) > max_plain)
-    return ~T.has_terminator(c) | (F.size(own) > 0) & few
+def by_chars(own: Column, max_plain: int = MAX_PLAIN) -> Column:
+    """FLT14, AG3, on the lines of a text that are not blank."""
+    few = (F.size(own) > 0) & (F.size(own) <= 3) & (F.array_max(F.transform(own, F.length)) > max_plain)
+    return ~F.exists(own, T.has_terminator) | few
 
 
-def pack(c: Column, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, max_plain: int = MAX_PLAIN) -> Column:
-    """FOLD4: the parts of a normalised text."""
+def pack_lines(own: Column, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, max_plain: int = MAX_PLAIN) -> Column:
+    """FOLD4 on an array of lines that are not blank; of null: null."""
     def packed(own):
-        plain = grouped(own, greedy_ids(F.transform(own, F.length), max_lines, max_chars, max_chars), "\n")
-        return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(by_chars(c, own, max_plain), pack_chars(F.array_join(own, " "), max_plain)).otherwise(plain)
+        plain = grouped(own, greedy_starts(F.transform(own, F.length), max_lines, max_chars, max_chars), "\n")
+        return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(by_chars(own, max_plain), pack_chars(F.array_join(own, " "), max_plain)).otherwise(plain)
+
+    return T.let(own, packed)
 
-    return T.let(F.filter(T.lines(c), lambda x: ~T.is_blank(x)), packed)
+
+def pack(c: Column, **limits: int) -> Column:
+    """FOLD4: the parts of a normalised text."""
+    return pack_lines(F.filter(T.lines(c), lambda x: ~T.is_blank(x)), **limits)
 
 
 def parts(frame: DataFrame, column: str = "text", path: Column | None = None, **limits: int) -> DataFrame:
-    """One row a part: part_no (from 1), part_text, n_lines, n_chars, and part_path where the source's path is given (STR15)."""
+    """One row a part: part_no (from 1), part_text, n_lines, n_chars, and part_path where the source's path is given (STR15).
+
+    `column` is a text, or an array of lines (as clean.good_sentences gives), which is then not split again.
+    """
     rest = [c for c in frame.columns if c != column]
-    out = frame.select(*rest, F.posexplode(pack(F.col(column), **limits)).alias("part_no", "part_text")).withColumn("part_no", F.col("part_no") + 1)
+    packed = pack_lines if frame.schema[column].dataType.typeName() == "array" else pack
+    out = frame.select(*rest, F.posexplode(packed(F.col(column), **limits)).alias("part_no", "part_text")).withColumn("part_no", F.col("part_no") + 1)
     out = out.withColumns({"n_lines": F.size(F.split("part_text", "\n")), "n_chars": F.length("part_text")})
     return out if path is None else out.withColumn("part_path", T.part_path(path, F.col("part_no") - 1))

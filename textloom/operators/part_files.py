@@ -27,5 +27,5 @@ def run_summary(frame: DataFrame, stem: str, number: str) -> DataFrame:
 
 
 def conflicts(existing: DataFrame, expected: DataFrame, stem: str, number: str, count: str) -> DataFrame:
-    """FLT17, SET2: existing numbers beyond the expected count of suffix parts."""
-    return existing.join(expected, stem).where(F.col(number) > F.col(count)).select(stem, number)
+    """FLT17, SET2: existing numbers beyond the expected count of suffix parts; a stem that expects none has none to keep."""
+    return existing.join(expected, stem, "left").where(F.col(number) > F.coalesce(F.col(count), F.lit(0))).select(stem, number)

@@ -15,14 +15,15 @@ MIN_WORDS, MOST = 8, 4
 
 def merge_short(c: Column, min_words: int = MIN_WORDS, most: int = MOST) -> Column:
     """FOLD3: an array of sentences to an array of lines."""
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("held"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("ids"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("held"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("starts"))
 
     def step(a, w):
         words, held = a["words"] + w, a["held"] + 1
         full = F.when(a["held"] == 0, w >= min_words).otherwise((words >= min_words) | (held >= most))
-        return F.struct((a["g"] + F.when(full, 1).otherwise(0)).alias("g"), F.when(full, 0).otherwise(held).alias("held"), F.when(full, 0).otherwise(words).alias("words"), F.concat(a["ids"], F.array(a["g"])).alias("ids"))
+        starts = F.when(a["held"] == 0, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"])
+        return F.struct((a["i"] + 1).alias("i"), F.when(full, 0).otherwise(held).alias("held"), F.when(full, 0).otherwise(words).alias("words"), starts.alias("starts"))
 
-    return T.let(c, lambda own: grouped(own, F.aggregate(F.transform(own, T.word_count), start, step, lambda a: a["ids"]), " "))
+    return T.let(c, lambda own: grouped(own, F.aggregate(F.transform(own, T.word_count), start, step, lambda a: a["starts"]), " "))
 
 
 def find_sentences(c: Column) -> Column:

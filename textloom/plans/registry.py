@@ -89,23 +89,13 @@ def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.significant_words(c("text")).alias("n_sig"), T.word_count(c("text")).alias("n_words"), T.non_blank_size(c("text")).alias("n_visible"))
 
 
-_LINE = "case doc_id % 8 when 0 then 'Посмотреть ВСЕХ модераторов' when 1 then 'Опубликованных  материалов за НЕДЕЛЮ' when 2 then 'R/' || source when 3 then 'see www.'')' || lang when 4 then lang || '漢字' when 5 then '  ' when 6 then 'u/x' else substr(text, 1, 40) end"
-
-
-@query(f"select doc_id, {', '.join(f'{x} {k}' for k, x in D.drop_flags('line').items())} from (select doc_id, {_LINE} line from documents)")
-def drop_rules(spark, sf_dir):
-    """FLT8, FLT9: a flag for each rule."""
-    made = table(spark, sf_dir, "documents").withColumn("line", F.expr(_LINE.replace("''", "\\'")))
-    return made.select("doc_id", *[f.alias(k) for k, f in T.drop_flags(c("line")).items()])
-
-
-_MADE = _LINE.replace("else substr(text, 1, 40)", "else text")
+_MADE = "case doc_id % 8 when 0 then 'Посмотреть ВСЕХ модераторов' when 1 then 'Опубликованных  материалов за НЕДЕЛЮ' when 2 then 'R/' || source when 3 then 'see www.'')' || lang when 4 then lang || '漢字' when 5 then '  ' when 6 then 'u/x' else text end"
 
 
 @query(f"""with lines as (select doc_id, (i - 1)::int line_no, ls[i] line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, {D.lines('text')} ls from documents)) union all select doc_id, -1, {_MADE} from documents)
 select doc_id, line_no, {', '.join(f'{x} {k}' for k, x in D.drop_flags('line').items())} from lines""")
-def drop_rules_lines(spark, sf_dir):
-    """FLT8, FLT9 on every line of every document, and beside them, as line -1, a made line or the whole text as one."""
+def drop_rules(spark, sf_dir):
+    """FLT8, FLT9, a flag for each rule, on every line of every document, and beside them, as line -1, a made line or the whole text as one."""
     docs = table(spark, sf_dir, "documents")
     own = docs.select("doc_id", F.posexplode(T.lines(c("text"))).alias("line_no", "line"))
     made = docs.select("doc_id", F.lit(-1).alias("line_no"), F.expr(_MADE.replace("''", "\\'")).alias("line"))
@@ -155,20 +145,14 @@ def strip_forum(spark, sf_dir):
 _BRACKETED = "case doc_id % 4 when 0 then replace(replace(t, ', ', ' [a [b '), '. ', ' ] c] ') when 1 then replace(t, ', ', ' [x] ') when 2 then replace(t, '. ', ' ] ') else t || ' [ ' || t end"
 
 
-@query(f"""with base as (select doc_id, string_split({_BRACKETED}, '') ch from (select doc_id, substr(text, 1, 400) t from documents)),
+@query(f"""with base as (select doc_id, regexp_extract_all({_BRACKETED}, '[\\[\\]]|[^\\[\\]]+') ch from (select doc_id, text t from documents)),
 e as (select doc_id, ch[i] x, i from (select doc_id, ch, unnest(range(1, len(ch) + 1)) i from base)),
 d as (select *, sum(case x when '[' then 1 when ']' then -1 else 0 end) over (partition by doc_id order by i) s from e),
-m as (select *, s - least(0, min(s) over (partition by doc_id order by i)) depth, lag(s, 1, 0) over (partition by doc_id order by i) - least(0, coalesce(min(s) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)) was from d)
-select doc_id, coalesce(string_agg(x, '' order by i) filter (where (x <> '[' and x <> ']' and depth = 0) or (x = ']' and was = 0)), '') cleaned from m group by doc_id""")
+m as (select *, s - least(0, min(s) over (partition by doc_id order by i)) depth, lag(s, 1, 0) over (partition by doc_id order by i) - least(0, coalesce(min(s) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)) was from d),
+u as (select doc_id, coalesce(string_agg(x, '' order by i) filter (where (x <> '[' and x <> ']' and depth = 0) or (x = ']' and was = 0)), '') cleaned from m group by doc_id)
+select b.doc_id, case when ch is null then null else coalesce(cleaned, '') end cleaned from base b left join u using (doc_id)""")
 def strip_brackets(spark, sf_dir):
-    """STR5, FOLD6, with brackets put in, matched and not."""
-    made = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("t")).where("length(t) > 0")
-    return made.select("doc_id", T.remove_brackets(F.expr(_BRACKETED)).alias("cleaned"))
-
-
-@query()
-def strip_brackets_whole(spark, sf_dir):
-    """STR5, FOLD6 over whole texts. No SQL, which is too slow by characters; the tests hold it against a plain fold."""
+    """STR5, FOLD6 over whole texts, with brackets put in, matched and not. The SQL goes by brackets and what lies between."""
     made = table(spark, sf_dir, "documents").select("doc_id", c("text").alias("t"))
     return made.select("doc_id", T.remove_brackets(F.expr(_BRACKETED)).alias("cleaned"))
 
@@ -198,7 +182,7 @@ def quality_score(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.quality_score(c("html")).cast("long").alias("score"))
 
 
-def _packed_sql(lines: int, chars: int) -> str:
+def _packed_sql(lines: int, chars: int, plain: int) -> str:
     empty = "struct_pack(part := 0, items := 0, chars := 0, ids := []::int[], n := 0)"
     def new(part, items, n):
         return f"struct_pack(part := {part}, items := {items}, chars := {n}, ids := list_concat(a.ids, [{part}]), n := 0)"
@@ -206,28 +190,42 @@ def _packed_sql(lines: int, chars: int) -> str:
       when x.n > {chars} then struct_pack(part := a.part + (a.items > 0)::int + 1, items := 0, chars := 0, ids := list_concat(a.ids, [a.part + (a.items > 0)::int]), n := 0)
       when a.items > 0 and (a.items + 1 > {lines} or a.chars + x.n + 1 > {chars}) then {new('a.part + 1', '1', 'x.n')}
       when a.items = 0 then {new('a.part', '1', 'x.n')} else {new('a.part', 'a.items + 1', 'a.chars + x.n + 1')} end, {empty})"""
+    lined = f"regexp_matches(array_to_string(sents, ' '), '[.!?…]') and not (len(sents) <= 3 and list_max(list_transform(sents, lambda z: length(z))) > {plain})"
     return f"""{_SENTENCES}, lists as (select doc_id, list(sentence order by sent_no) sents from each where {D.n_sig('sentence')} >= 3 and not ({_DROP}) group by doc_id),
-    ids as (select doc_id, sents, ({fold}).ids ids from lists where regexp_matches(array_to_string(sents, ' '), '[.!?…]')),
-    flat as (select doc_id, unnest(sents) s, unnest(ids) part, unnest(range(0, len(sents))) i from ids)
-    select doc_id, (part + 1)::int part_no, string_agg(s, chr(10) order by i) part_text, count(*)::int n_lines from flat group by doc_id, part"""
+    ids as (select doc_id, sents, ({fold}).ids ids from lists where {lined}),
+    flat as (select doc_id, unnest(sents) s, unnest(ids) part, unnest(range(0, len(sents))) i from ids),
+    lined as (select doc_id, (part + 1)::int part_no, string_agg(s, chr(10) order by i) part_text, count(*)::int n_lines from flat group by doc_id, part),
+    plain as (select doc_id, trim(regexp_replace(array_to_string(sents, ' '), '\\s+', ' ', 'g')) t from lists where not ({lined})),
+    {_packed_chars_sql(plain)}
+    select * from lined union all select doc_id, part_no, part_text, 1 n_lines from packed_chars"""
+
+
+def _packed_chars_sql(limit: int) -> str:
+    """FOLD5 of plain(doc_id, t), where no token is longer than a part: packed_chars(doc_id, part_no, part_text)."""
+    return f"""tok as (select doc_id, t, list_transform(string_split(t, ' '), lambda w: struct_pack(part := 0, chars := 0, ids := []::int[], n := length(w)::int)) ws from plain where length(t) > {limit}),
+    cids as (select doc_id, t, (list_reduce(ws, lambda a, x: case when a.chars = 0 then struct_pack(part := a.part, chars := x.n, ids := list_concat(a.ids, [a.part]), n := 0)
+      when a.chars + 1 + x.n > {limit} then struct_pack(part := a.part + 1, chars := x.n, ids := list_concat(a.ids, [a.part + 1]), n := 0)
+      else struct_pack(part := a.part, chars := a.chars + 1 + x.n, ids := list_concat(a.ids, [a.part]), n := 0) end, struct_pack(part := 0, chars := 0, ids := []::int[], n := 0))).ids ids from tok),
+    cflat as (select doc_id, unnest(string_split(t, ' ')) w, unnest(ids) part, unnest(range(0, len(ids))) i from cids),
+    packed_chars as (select doc_id, (part + 1)::int part_no, string_agg(w, ' ' order by i) part_text from cflat group by doc_id, part union all select doc_id, 1, t from plain where length(t) between 1 and {limit})"""
 
 
 def _packed(spark, sf_dir, **limits):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.strip_symbols(c("text")).alias("text"))
-    own = clean.filter_normalized(docs).where("error is null").where(T.has_terminator(c("text")))
-    return pack.parts(own.select("doc_id", "text"), **limits).select("doc_id", "part_no", "part_text", "n_lines")
+    """Sentences are split once, in the expression that packs them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", clean.good_sentences(T.strip_symbols(c("text"))).alias("own"))
+    return pack.parts(docs, "own", **limits).select("doc_id", "part_no", "part_text", "n_lines")
 
 
-@query(_packed_sql(300, 10_000))
+@query(_packed_sql(300, 10_000, 12_000))
 def pack_parts(spark, sf_dir):
-    """FOLD4, FLT14."""
+    """FOLD4, FLT14, FOLD5: lines, or characters where a text has no terminator."""
     return _packed(spark, sf_dir)
 
 
-@query(_packed_sql(6, 400))
+@query(_packed_sql(6, 400, 60))
 def pack_parts_small(spark, sf_dir):
-    """FOLD4 with limits at which lines and characters both bind."""
-    return _packed(spark, sf_dir, max_lines=6, max_chars=400, max_plain=1 << 30)
+    """FOLD4, FLT14, AG3, FOLD5 with limits at which lines, characters and the plain limit all bind."""
+    return _packed(spark, sf_dir, max_lines=6, max_chars=400, max_plain=60)
 
 
 @query("""with base as (select doc_id, trim(regexp_replace(regexp_replace(text, '[.!?…]', ' ', 'g'), '\\s+', ' ', 'g')) t from documents),
@@ -271,27 +269,17 @@ def merge_regroup(spark, sf_dir):
     return regroup.merge_parts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query("""with p as (select distinct 'd' || (doc_id // 40) stem, (doc_id % 40)::int n from labels where quality = 1 or doc_id % 40 < 12),
-r as (select stem, n, row_number() over (partition by stem order by n) k from p where n > 0)
-select stem, count(*) filter (where n = k) run_length, count(*) filter (where n > k) n_orphans, coalesce(string_agg(lpad(n::varchar, 3, '0'), ',' order by n) filter (where n > k), '') orphans from r group by stem""")
-def part_numbering(spark, sf_dir):
-    """SRC4, SRC5, FLT16, FOLD7: label ids as part numbers."""
-    own = table(spark, sf_dir, "labels").where("quality = 1 or doc_id % 40 < 12").selectExpr("concat('d', cast(doc_id div 40 as string)) stem", "cast(doc_id % 40 as int) n").distinct()
-    named = own.withColumn("name", F.concat("stem", F.lit("S"), F.lpad(c("n").cast("string"), 3, "0"), F.lit(".txt"))).withColumn("n", part_files.part_number(c("name"), c("stem"), F.lit(".txt")))
-    return part_files.run_summary(named, "stem", "n")
-
-
 @query("""with p as (select distinct 'd' || (doc_id // 40) stem, (doc_id % 40)::int + 1 n from labels),
 r as (select stem, n, row_number() over (partition by stem order by n) k from p)
 select stem, count(*) filter (where n = k) run_length, count(*) filter (where n > k) n_orphans, coalesce(string_agg(lpad(n::varchar, 3, '0'), ',' order by n) filter (where n > k), '') orphans from r group by stem""")
-def part_numbering_all(spark, sf_dir):
+def part_numbering(spark, sf_dir):
     """SRC4, SRC5, FLT16, FOLD7: the ids of all labels as part numbers from 1."""
     own = table(spark, sf_dir, "labels").selectExpr("concat('d', cast(doc_id div 40 as string)) stem", "cast(doc_id % 40 as int) + 1 n").distinct()
     named = own.withColumn("name", F.concat("stem", F.lit("S"), F.lpad(c("n").cast("string"), 3, "0"), F.lit(".txt"))).withColumn("n", part_files.part_number(c("name"), c("stem"), F.lit(".txt")))
     return part_files.run_summary(named, "stem", "n")
 
 
-@query("select stem, n from (select 'd' || (doc_id // 40) stem, (doc_id % 40)::int n from labels) join (select 'd' || (doc_id // 40) stem, count(*) c from labels where toxic = 1 group by 1) using (stem) where n > c")
+@query("select stem, n from (select 'd' || (doc_id // 40) stem, (doc_id % 40)::int n from labels) left join (select 'd' || (doc_id // 40) stem, count(*) c from labels where toxic = 1 group by 1) using (stem) where n > coalesce(c, 0)")
 def part_conflicts(spark, sf_dir):
     """FLT17, SET2."""
     own = table(spark, sf_dir, "labels").selectExpr("concat('d', cast(doc_id div 40 as string)) stem", "cast(doc_id % 40 as int) n", "toxic")
@@ -356,16 +344,8 @@ def obsolete_pages(spark, sf_dir):
 _TEMPLATE = "Keep one sentence on each line."
 
 
-@query(f"select doc_id, case when e is null then {D.q(T.PROMPT_HEAD)} || t || {D.q(T.PROMPT_BODY + _TEMPLATE)} end prompt, e error from (select doc_id, t, case when t = '' then 'empty_context' when regexp_matches(t, '[^\\x00-\\x7F]') then 'non_ascii_context' end e from (select doc_id, case when doc_id % 9 = 0 then '' else {D.trim('substr(text, 1, 60)')} end t from documents))")
-def prompt_build(spark, sf_dir):
-    """STR18: contexts of plain ASCII get a prompt, others an error."""
-    prompt, error = T.system_prompt(c("context"), _TEMPLATE)
-    made = table(spark, sf_dir, "documents").select("doc_id", F.when(c("doc_id") % 9 == 0, "").otherwise(F.substring("text", 1, 60)).alias("context"))
-    return made.select("doc_id", prompt.alias("prompt"), error.alias("error"))
-
-
 @query(f"select doc_id, case when e is null then {D.q(T.PROMPT_HEAD)} || t || {D.q(T.PROMPT_BODY + _TEMPLATE)} end prompt, e error from (select doc_id, t, case when t = '' then 'empty_context' when regexp_matches(t, '[^\\x00-\\x7F]') then 'non_ascii_context' end e from (select doc_id, {D.trim('text')} t from documents))")
-def prompt_build_whole(spark, sf_dir):
+def prompt_build(spark, sf_dir):
     """STR18: whole texts as contexts, of every document."""
     prompt, error = T.system_prompt(c("text"), _TEMPLATE)
     return table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"), error.alias("error"))
