@@ -64,18 +64,58 @@ def test_suffix_ranks():
     rnd = random.Random(2)
     raw = bytes(rnd.choice(b"ab") for _ in range(400))
     for length in (3, 8, 20, 200):
-        rank = substrings.ranks(np.frombuffer(raw, np.uint8), length)
+        rank = substrings.levels(np.frombuffer(raw, np.uint8), length)[-1][1]
         want = sorted({raw[i : i + length].ljust(length, b"\0") for i in range(400)})
         assert [want[r] for r in rank] == [raw[i : i + length].ljust(length, b"\0") for i in range(400)]
 
 
+@pytest.mark.parametrize("letters", [b"ab", b"abcdefgh", b"a", bytes(range(256))])
+def test_longest_previous_factors(letters):
+    rnd = random.Random(3)
+    raw = bytes(rnd.choice(letters) for _ in range(150))
+    raw += raw[20:90] + raw[:10]
+    length, n = 40, len(raw)
+    by = substrings.levels(np.frombuffer(raw, np.uint8), length)
+    at = np.arange(n)
+    got = substrings.longest_previous_factors(at, np.minimum(length, n - at), by)
+
+    def shared(i, j):
+        k = 0
+        while k < min(length, n - i) and raw[i + k] == raw[j + k]:
+            k += 1
+        return k
+
+    assert got.tolist() == [max((shared(i, j) for j in range(i)), default=0) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_keeping_the_first(spark, monkeypatch, hot):
+    """No string is left whole twice, and every byte that goes lies in a string with another copy."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    texts = corpus()
+    got = substrings.remove_repeats(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), keep_first=True).collect()
+    first = defaultdict(list)
+    blobs, removed = [(t or "").encode() for t in texts], {r.doc_id: [(x.s, x.e) for x in r.removed] for r in got}
+    for i, b in enumerate(blobs):
+        for a in range(len(b) - 199):
+            first[b[a : a + 200]].append(any(s <= a and a + 200 <= e for s, e in removed[i]))
+    assert all(v.count(False) <= 1 for v in first.values())
+    for i, b in enumerate(blobs):
+        for s, e in removed[i]:
+            repeated = [a for a in range(s, e - 199) if len(first[b[a : a + 200]]) > 1]
+            assert repeated[0] == s and repeated[-1] + 200 == e and all(y - x <= 200 for x, y in zip(repeated, repeated[1:]))
+    everything = substrings.remove_repeats(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sum(len(r.kept) for r in got) > sum(len(r.kept) for r in everything)
+
+
 def test_empty_and_null_ids(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = substrings.report(substrings.remove_repeats(spark.createDataFrame([(None, "q" * 300, "", 1), (None, "r", "", 1)], SCHEMA))).collect()
     assert sorted((r.n_bytes, r.n_removed) for r in rows) == [(1, 0), (300, 300)]
 
 
-def test_too_long_texts_are_an_error(monkeypatch):
-    monkeypatch.setattr(substrings, "_POS", np.uint64(1000))
-    with pytest.raises(ValueError, match="128 MB"):
-        substrings.stretches([b"x" * 1001])
+def test_long_texts_go_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE", 64)
+    texts = corpus()
+    got = substrings.report(substrings.remove_repeats(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))).collect()
+    assert sorted(map(tuple, got)) == [(i, *w) for i, w in enumerate(brute(texts, 200))]
