@@ -47,13 +47,64 @@ def test_scores(spark, monkeypatch, known):
     assert model > base + 0.05
 
 
-def test_tables_are_normalised_and_learn():
+def model(symbols=60, words=90):
     rng = np.random.default_rng(0)
-    pairs = rng.integers(0, 50, (12, 1)) * rng.integers(0, 9, (12, 12)).astype(float)
-    table = lm.train(pairs)
-    assert np.allclose((10**table).sum(1), 1)
-    unigram = np.log10((pairs.sum(0) + 0.5) / (pairs.sum() + 6))
-    assert (pairs * table).sum() > (pairs * unigram).sum()
+    out = lm.Model(words, rng.integers(0, 500, symbols).astype(float))
+    out.p = {k: (v + rng.standard_normal(v.shape) * 0.5).astype(np.float32) for k, v in out.p.items()}
+    return out, rng
+
+
+def test_probabilities_are_normalised():
+    own, rng = model()
+    before = np.repeat(rng.integers(0, 90, (5, lm.POSITIONS)), 60, axis=0)
+    assert np.allclose((10 ** own.log10(before, np.tile(np.arange(60), 5))).reshape(5, 60).sum(1), 1)
+
+
+def test_noise_contrast_learns_who_follows_whom():
+    rng = np.random.default_rng(1)
+    after = rng.permutation(60)
+    seen = rng.integers(0, 60, (20_000, lm.POSITIONS))
+    target = np.where(rng.random(20_000) < 0.8, after[seen[:, 1]], rng.integers(0, 60, 20_000))  # the word before the last one tells
+    own = lm.Model(60, np.bincount(target, minlength=60).astype(float))
+    start = own.log10(seen[:500], target[:500]).mean()
+    for _ in range(3):
+        for at in range(0, 20_000, 256):
+            own.learn(seen[at : at + 256], target[at : at + 256], rng, 0.15)
+    assert own.log10(seen[:500], target[:500]).mean() > start + 0.5
+
+
+def test_scores_equal_a_plain_loop(spark):
+    texts = {i: t for i, t in enumerate(["the cat sat on the mat", "", None, "The dog sat", "a été là là", "unseen words here the cat", "on on on on on"] * 6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    train = Counter(t for i, text in texts.items() if not held(i) for t in tokens(text))
+    from textloom.llm import common
+    from pyspark.sql import functions as F
+
+    _, m = lm.fit(docs.where(~F.col("doc_id").isin([i for i in texts if held(i)])), common.Scratch(spark, "t"))
+    slots, of, own = lm.Slots(m["known"]), lm.class_of_slots(m["known"]), m["model"]
+    rest = Counter()
+    kinds = Counter()
+    for w, c in train.items():
+        k = int(of[slots[w.encode()]])
+        if k > lm.FREQUENT:
+            rest[k] += c
+            kinds[k] += 1
+    for i, text in texts.items():
+        words, want = [w.encode() for w in tokens(text)], 0.0
+        for at, w in enumerate(words):
+            q = np.zeros(lm.DIM)
+            for k in range(lm.POSITIONS):
+                slot = slots[words[at - 1 - k]] if at - 1 - k >= 0 else 0
+                q += own.p["word"][slot].astype(float) @ own.p["turn"][k].astype(float)
+            c = int(of[slots[w]])
+            g = own.group[c]
+            for table, bias, member, all_ in (("group", "group_bias", g, range(len(own.members))), ("symbol", "bias", c, own.members[g])):
+                each = {x: math.exp(q @ own.p[table][x].astype(float) + float(own.p[bias][x])) for x in all_}
+                want += math.log10(each[member] / sum(each.values()))
+            if c > lm.FREQUENT:
+                want += math.log10((train[w.decode()] + 0.5) / (rest[c] + 0.5 * (kinds[c] + 1)))
+        assert abs(got[i] - want) < 1e-3, (i, got[i], want)
 
 
 def test_no_training_text_and_none(spark):
