@@ -1,28 +1,23 @@
 """LM scoring by a log-bilinear model with noise-contrastive estimation.
 
-Context: the POSITIONS words before. Each of the KNOWN most frequent words has a vector of its own, rarer words one
-for each of TAIL endings; a matrix for each position turns them, and their sum is the context. Targets are symbols: the
-FREQUENT most frequent words and the end each their own, the others by their ending. Normalisation is factored by
-classes: symbols fall into groups by frequency, a batched matrix product gives all groups' probabilities, another
-those of the symbols of the target's group. A word that shares its symbol has its smoothed share of it, so token
-probabilities are normalised as the base's are.
+Words fall into classes: the FREQUENT most frequent ones and the end each their own, the others TAIL classes
+by their last letters. The model gives the next class from the class before it: logits are products of
+context and class vectors, trained in numpy to tell the corpus's class pairs from noise (in expectation over
+the noise), and normalised by one product over all contexts and classes. A word in a tail class has its
+smoothed share of the class, so token probabilities are normalised as the base's are.
 
-Training: by batches of positions, with NOISE sampled symbols for each batch from the symbols' frequencies. It is
-parallel over the corpus: each of at most TRAINERS tasks learns from its training texts (one in SHARE by hash, a
-share that grows with the input), and parameters are averaged by the positions that they saw, block by block.
-
-All counts cover every training text: partial counts in each task, summed by word. Scores: the KNOWN most frequent
-words' counts are broadcast; the rarer words of each text are joined with the counts by word and summed by row.
+All statistics cover every training text. Word counts: partial counts in each task, summed by word. Class
+pairs: at most (FREQUENT + TAIL + 1)**2 cells, whatever the corpus. Scores: the KNOWN most frequent words'
+counts are broadcast; the rarer words of each text are joined with the counts by word and summed by row.
 
 Defined results: null and empty texts are one end token; rows of equal doc_id are rows of their own; a null
-doc_id trains and scores like any other (as the empty string); words of equal count are ordered by their bytes, at the limit of KNOWN by hash; a text
-of any length is scored whole, in slices that keep their context; extra columns are ignored, whatever their names;
-with no training text every base score is 0; an empty table gives an empty result.
+doc_id trains and scores like any other (as the empty string); words of equal count are ordered by their bytes, at the
+limit of KNOWN by hash; a text of any length is scored whole, in one task; extra columns are ignored, whatever their
+names; with no training text every base score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections import Counter
 
@@ -34,15 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 FREQUENT, TAIL, KNOWN = 511, 128, 50_000
-#: Words of context, dimensions, symbols of a group; noise symbols of a batch, positions of a batch, learning rate, rounds.
-POSITIONS, DIM, GROUP = 3, 16, 25
-NOISE, BATCH, RATE, ROUNDS = 50, 256, 0.15, 2
-#: Where sums of squared gradients start: what is seen seldom hardly moves.
-START = 0.3
-#: Training texts of which one teaches in a round; tasks that teach at most; parameters of a block.
-SHARE, TRAINERS, CELLS = 3, 4096, 1 << 15
-#: Positions that are scored at once.
-SCORED = 1 << 15
+DIM, NOISE, STEPS, RATE = 16, 10, 400, 0.05
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 #: The end of a text; no word holds white space.
@@ -55,8 +42,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def tail_class(word: bytes) -> int:
-    """By the last three characters."""
-    return FREQUENT + 1 + zlib.crc32(word[-12:].decode("utf-8", "replace")[-3:].encode()) % TAIL
+    return FREQUENT + 1 + zlib.crc32(word[-3:]) % TAIL
 
 
 class Slots(dict):
@@ -93,136 +79,31 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-class Model:
-    """Parameters, in float32: word vectors, position matrices, symbol vectors and biases; group vectors and biases follow the same score."""
-
-    def __init__(self, words: int, frequency: np.ndarray):
-        rng, symbols = np.random.default_rng(5), len(frequency)
-        small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        # groups are GROUP neighbours in the order of frequency
-        order = np.lexsort((np.arange(symbols), -frequency))
-        self.group = np.empty(symbols, np.int64)
-        self.group[order] = np.arange(symbols) // GROUP
-        smoothed = frequency + 0.5
-        of_group = np.bincount(self.group, smoothed)
-        self.noise = smoothed / smoothed.sum()
-        self.group_noise = of_group / of_group.sum()
-        self.p = {
-            "word": small(words, DIM), "turn": np.stack([np.eye(DIM, dtype=np.float32) / (i + 1) for i in range(POSITIONS)]),
-            "symbol": small(symbols, DIM), "bias": np.log(smoothed / of_group[self.group]).astype(np.float32),
-            "group": small(len(of_group), DIM), "group_bias": np.log(self.group_noise).astype(np.float32),
-        }
-        self.squares: dict[str, np.ndarray] = {}
-        self.members = [np.flatnonzero(self.group == g) for g in range(len(of_group))]
-
-    def context(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.p["word"][before[:, i]] @ self.p["turn"][i] for i in range(POSITIONS))
-
-    def learn(self, before: np.ndarray, target: np.ndarray, rng, rate: float) -> None:
-        """A step of noise-contrastive estimation on a batch: for the group, and for the symbol within its group."""
-        q, p, n = self.context(before), self.p, len(target)
-        group = self.group[target]
-        dq = np.zeros_like(q)
-        for table, bias, real, noise in (("group", "group_bias", group, self.group_noise), ("symbol", "bias", target, self.noise)):
-            # noise is drawn once for the batch; within a group, symbols of other groups do not count
-            drawn = rng.choice(len(noise), NOISE, p=noise)
-            inside = np.ones((n, NOISE), np.float32) if table == "group" else (group[:, None] == self.group[drawn]).astype(np.float32)
-            shift = np.log(NOISE * noise)
-            err = 1 / (1 + np.exp(shift[real] - (q * p[table][real]).sum(1) - p[bias][real])) - 1
-            false = inside / (1 + np.exp(np.clip(shift[drawn] - q @ p[table][drawn].T - p[bias][drawn], -30, 30)))
-            dq += err[:, None] * p[table][real] + false @ p[table][drawn]
-            rows = np.concatenate([real, drawn])
-            self.step(table, rows, np.concatenate([err[:, None] * q, false.T @ q]), rate)
-            self.step(bias, rows, np.concatenate([err, false.sum(0)])[:, None], rate / 4)
-        for i in range(POSITIONS):
-            own = p["word"][before[:, i]]
-            back = dq @ p["turn"][i].T
-            self.step("turn", np.full(1, i), (own.T @ dq).reshape(1, -1), rate / 4)
-            self.step("word", before[:, i], back, rate)
-
-    def step(self, name: str, rows: np.ndarray, moved: np.ndarray, rate: float) -> None:
-        """Adagrad on the rows that the batch names, by the sums of their gradients; a task starts its sums of squares anew."""
-        table = self.p[name].reshape(len(self.p[name]), -1)
-        squares = self.squares.setdefault(name, np.full(len(table), START))
-        order = np.argsort(rows, kind="stable")
-        own, first = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(moved[order], first, axis=0)
-        squares[own] += (total * total).mean(1)
-        table[own] -= ((rate / np.sqrt(squares[own]))[:, None] * total).astype(np.float32)
-
-    def log10(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of the symbols: of the group among groups, of the symbol within its group."""
-        q, p = self.context(before), self.p
-        group = self.group[target]
-        out = log_softmax(q @ p["group"].T + p["group_bias"])[np.arange(len(target)), group]
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(len(self.members) + 1))
-        for g, own in enumerate(self.members):
-            at = order[bounds[g] : bounds[g + 1]]
-            if len(at):
-                out[at] += log_softmax(q[at] @ p["symbol"][own].T + p["bias"][own])[np.arange(len(at)), np.searchsorted(own, target[at])]
-        return out / np.log(10)
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """The POSITIONS slots before each position, the nearest first; before a text stand ends (slot 0). ids: a text's slots."""
-    padded = np.concatenate([np.zeros(POSITIONS, ids.dtype), ids])
-    return np.stack([padded[POSITIONS - 1 - i : len(padded) - 1 - i] for i in range(POSITIONS)], axis=1)
-
-
-def teach(docs: DataFrame, model: Model, known: list[bytes], turn: int, scratch: common.Scratch) -> bool:
-    """A round: tasks learn from where the model is, and it moves to the mean of their parameters; false where nothing was learned from."""
-    spark, names = docs.sparkSession, list(model.p)
-    shared = spark.sparkContext.broadcast((model, known))
-    sizes = {k: -(-v.size // CELLS) for k, v in model.p.items()}
-
-    def run(stream):
-        own, words = shared.value
-        own = pickle.loads(pickle.dumps(own))  # a worker's copy of the broadcast serves other tasks too
-        slots, of, rng, seen = Slots(words), class_of_slots(words), np.random.default_rng(turn), 0
-        for batch in stream:
-            held = []
-            for text in batch.column("text").to_pylist():
-                ids = np.fromiter(map(slots.__getitem__, [*words_of(text), END]), np.int64)
-                held.append((contexts(ids), of[ids]))
-            before, target = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty((0, POSITIONS), np.int64), np.empty(0, np.int64))
-            shuffled = rng.permutation(len(target))
-            for at in range(0, len(target), BATCH):
-                own.learn(before[shuffled[at : at + BATCH]], target[shuffled[at : at + BATCH]], rng, RATE / (1 + turn))
-            seen += len(target)
-        if seen:
-            rows = [(n, k, seen, own.p[name].ravel()[k * CELLS : (k + 1) * CELLS].tobytes()) for n, name in enumerate(names) for k in range(sizes[name])]
-            for at in range(0, len(rows), 8):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 8], strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["name", "block", "seen", "cells"])
-
-    def mean(stream):
-        sums: dict = {}
-        for batch in stream:
-            for n, k, seen, cells in zip(*(batch.column(c).to_pylist() for c in ("name", "block", "seen", "cells")), strict=True):
-                total = sums.setdefault((n, k), [0, 0.0])
-                total[0] += seen
-                total[1] = total[1] + seen * np.frombuffer(cells, np.float32).astype(np.float64)
-        for (n, k), (seen, total) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([k], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["name", "block", "seen", "cells"])
-
-    schema = "name int, block int, seen long, cells binary"
-    parts = docs.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == turn % SHARE).select("text").coalesce(TRAINERS)
-    learned = scratch.table(parts.mapInArrow(run, schema), f"learned{turn}", "none")
-    blocks = learned.repartition(sum(sizes.values()), "name", "block").mapInArrow(mean, schema).collect()  # as many rows as the model has blocks
-    flat = {k: v.ravel().copy() for k, v in model.p.items()}
-    for r in blocks:
-        cells = np.frombuffer(bytes(r.cells), np.float32)
-        flat[names[r["name"]]][r.block * CELLS : r.block * CELLS + len(cells)] = cells
-    model.p = {k: flat[k].reshape(v.shape) for k, v in model.p.items()}
-    scratch.drop(f"learned{turn}")
-    shared.destroy()
-    return bool(blocks)
+def train(pairs: np.ndarray) -> np.ndarray:
+    """log10 probabilities (contexts x classes) from counts of pairs; noise-contrastive estimation with Adam.
+
+    The noise is the smoothed distribution of classes. Its NOISE samples for each pair enter by their expectation.
+    """
+    contexts, classes = pairs.shape
+    rng = np.random.default_rng(5)
+    freq = pairs.sum(0) + 0.5
+    noise = freq / freq.sum()
+    p = [rng.standard_normal((contexts, DIM)) * 0.1, rng.standard_normal((classes, DIM)) * 0.1, np.log(noise)]
+    first, second = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+    total = pairs.sum(1, keepdims=True)
+    per = np.maximum(total, 1) ** 0.5  # rare contexts learn too
+    shift = np.log(NOISE * noise)
+    for step in range(1, (STEPS if total.sum() else 0) + 1):
+        real = 1 / (1 + np.exp(-np.clip(p[0] @ p[1].T + p[2] - shift, -40, 40)))
+        d = (NOISE * total * noise * real - pairs * (1 - real)) / per
+        grad = [d @ p[1] / contexts + 1e-4 * p[0], d.T @ p[0] / contexts + 1e-4 * p[1], d.sum(0) / contexts]
+        for x, g, m, v in zip(p, grad, first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            x -= RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    logits = p[0] @ p[1].T + p[2]
+    logits -= logits.max(1, keepdims=True)
+    return (logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)
 
 
 def fit(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, dict]:
@@ -259,28 +140,30 @@ def fit(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, dict]:
 
     totals = {r["class"]: (r.n, r.v) for r in counts.mapInArrow(by_class, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    frequency = np.zeros(classes)
-    np.add.at(frequency, class_of_slots(known)[: FREQUENT + 1], [c.get(w, 0) for w in known[: FREQUENT + 1]])
-    for i, (n, _) in totals.items():
-        frequency[i] = n
-    model = Model(len(known) + TAIL, frequency)
-    for turn in range(ROUNDS):
-        if not teach(docs, model, known, turn, scratch):
-            break
+    shared = spark.sparkContext.broadcast(known)
+
+    def pair(stream):
+        slots = Slots(shared.value)
+        of = class_of_slots(shared.value)
+        sums = np.zeros((classes, classes), np.int64)
+        for batch in stream:
+            ids: list[int] = [0]
+            for text in batch.column("text").to_pylist():
+                ids += map(slots.__getitem__, words_of(text))
+                ids.append(0)
+            seq = of[np.array(ids)]
+            sums += np.bincount(seq[:-1] * classes + seq[1:], minlength=classes * classes).reshape(classes, classes)
+        a, b = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(sums[a, b])], ["a", "b", "n"])
+
+    pairs = np.zeros((classes, classes))
+    cells = docs.select("text").mapInArrow(pair, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    pairs[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["n"].to_numpy()
     share = np.zeros(classes)  # log10 of each tail class's smoothed total
     for i in range(FREQUENT + 1, classes):
         n, v = totals.get(i, (0, 0))
         share[i] = np.log10(n + 0.5 * (v + 1))
-    return counts, {"known": known, "c": [c.get(w, 0) for w in known], "model": model, "share": share, "n": whole.n or 0, "v": whole.v or 0}
-
-
-def scores(model: Model, befores: list[np.ndarray], symbols: list[np.ndarray]) -> np.ndarray:
-    """Each text's sum of log10 probabilities, SCORED positions at once."""
-    before, target = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (befores, symbols))
-    each = np.concatenate([model.log10(before[at : at + SCORED], target[at : at + SCORED]) for at in range(0, len(target), SCORED)] or [np.empty(0)])
-    sums = np.concatenate([[0.0], np.cumsum(each)])
-    ends = np.cumsum([len(x) for x in symbols])
-    return sums[ends] - sums[ends - np.array([len(x) for x in symbols], np.int64)] if len(symbols) else np.empty(0)
+    return counts, {"known": known, "c": [c.get(w, 0) for w in known], "table": train(pairs), "share": share, "n": whole.n or 0, "v": whole.v or 0}
 
 
 def class_of_slots(known: list[bytes]) -> np.ndarray:
@@ -311,23 +194,18 @@ def score(docs: DataFrame) -> DataFrame:
         tail = of > FREQUENT
         extra = np.where(tail, log_c - m["share"][of], 0.0)
         total = np.log10(m["n"] + 0.5 * (m["v"] + 1))
-        model = m["model"]
+        table = m["table"]
         for batch in stream:
-            out: list[list] = [[] for _ in range(4)]
-            befores, symbols, ends = [], [], []
+            out: list[list] = [[] for _ in range(5)]
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 ids = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
                 ids = np.append(ids, 0)
                 seq = of[ids]
+                before = np.concatenate([[0], seq[:-1]])
                 rare = np.flatnonzero(ids >= first_rare)
-                for o, value in zip(out, (len(ids), int((known_c[ids] > 0).sum()), float(log_c[ids].sum() - len(ids) * total), [words[i] for i in rare.tolist()]), strict=True):
+                for o, value in zip(out, (len(ids), int((known_c[ids] > 0).sum()), float(log_c[ids].sum() - len(ids) * total), float(table[before, seq].sum() + extra[ids].sum()), [words[i] for i in rare.tolist()]), strict=True):
                     o.append(value)
-                befores.append(contexts(ids))
-                symbols.append(seq)
-                ends.append(extra[ids].sum())
-            modelled = scores(model, befores, symbols) + np.array(ends)
-            out.insert(3, modelled)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(o, t) for o, t in zip(out, types, strict=True))], names)
 
