@@ -119,3 +119,16 @@ def test_long_texts_go_in_slices(spark, monkeypatch):
     texts = corpus()
     got = substrings.report(substrings.remove_repeats(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))).collect()
     assert sorted(map(tuple, got)) == [(i, *w) for i, w in enumerate(brute(texts, 200))]
+
+
+def test_sql_against_brute_force():
+    import duckdb
+    import pyarrow as pa
+
+    from textloom.llm import oracle
+
+    texts = corpus()
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    got = sorted(db.execute(oracle.SUBSTRINGS).fetchall())
+    assert [r[1:] for r in got] == brute(texts, 200)

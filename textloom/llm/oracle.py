@@ -39,4 +39,19 @@ reach as (select r a, r b from rep union select reach.a, both_ways.b from reach
 comp as (select a r, min(b) c from reach group by a)
 select n.doc_id, n.n n_shingles, coalesce(comp.c, n.doc_id) component_id, n.doc_id = coalesce(comp.c, n.doc_id) kept from n left join rep using (sig) left join comp on comp.r = rep.r and n.n > 0"""
 
-ORACLE_SQL = {"op4_near_dups": NEAR_DUPS, "op5_secrets": SECRETS}
+#: Bytes as two hexadecimal digits each; strings are cut from pieces of 256 starts, for a cut deep in a text counts its way there.
+SUBSTRINGS = """with d as (select row_number() over () k, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+blocks as (select k, unnest(range(0, greatest(len(h) // 2 - 199, 0), 256)) b, len(h) // 2 n, h from d),
+cut as (select k, b, n, substr(h, 2 * b + 1, 910) piece from blocks),
+placed as (select k, b, piece, unnest(range(0, least(256, n - 199 - b))) o from cut),
+starts as (select k, b + o s, md5(substr(piece, 2 * o + 1, 400)) x from placed),
+again as (select x from starts group by x having count(*) > 1),
+hit as (select k, s, lag(s) over (partition by k order by s) p from starts semi join again using (x)),
+run as (select k, s, sum(case when p is null or s > p + 200 then 1 else 0 end) over (partition by k order by s) r from hit),
+span as (select k, r, min(s) a, max(s) + 200 z from run group by k, r),
+gap as (select k, r, a, z, coalesce(lag(z) over (partition by k order by r), 0) f from span),
+kept as (select k, sum(gap.z - gap.a)::bigint n_removed, count(*) n_spans, max(gap.z) last, string_agg(substr(h, (2 * f + 1)::bigint, (2 * (a - f))::bigint), '' order by r) parts from gap join d using (k) group by k)
+select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans,
+    sha256(unhex(coalesce(parts, '') || substr(h, (2 * coalesce(last, 0) + 1)::bigint))) kept_sha256 from d left join kept using (k)"""
+
+ORACLE_SQL = {"op4_near_dups": NEAR_DUPS, "op5_secrets": SECRETS, "op8_substrings": SUBSTRINGS}
