@@ -101,3 +101,40 @@ def test_no_labels_and_no_documents(spark):
     docs, labels, n = small(spark)
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def plain_score(net, text):
+    """The forward pass a word at a time, in double precision, from each word's own n-grams."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    size, words, logits = gru.HIDDEN, [toxicity.normal(w) for w in toxicity.steps(text)], []
+    for begin in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        inputs = []
+        for w in words[begin : begin + toxicity.WINDOW]:
+            inputs.append(p["word"][net.words.get(w, len(net.words))] + p["gram"][gru.grams([w])[0]].mean(0))
+        states = {}
+        for side in "fb":
+            h, own = np.zeros(size), []
+            for x in inputs if side == "f" else inputs[::-1]:
+                a, b = x @ p[f"x{side}"] + p[f"c{side}"], h @ p[f"u{side}"]
+                z, r = sig(a[:size] + b[:size]), sig(a[size : 2 * size] + b[size : 2 * size])
+                h = z * h + (1 - z) * np.tanh(a[2 * size :] + r * b[2 * size :])
+                own.append(h)
+            states[side] = own if side == "f" else own[::-1]
+        both = [np.concatenate(x) for x in zip(states["f"], states["b"], strict=True)]
+        strength = [np.exp(np.tanh(h @ p["attend"]) @ p["query"]) for h in both]
+        pooled = sum((s * h for s, h in zip(strength, both, strict=True)), np.zeros(2 * size)) / (sum(strength) or 1)
+        logits.append(pooled @ p["out"] + p["bias"][0])
+    return sig(max(logits))
+
+
+def test_scores_by_brute_force():
+    rng = np.random.default_rng(3)
+    net = gru.Network({"idiot": 0, "thing": 1, "ein": 2})
+    net.p["bias"][0] = -0.7
+    vocabulary = ["Idiot!", "thing", "ein", "Loweiä", "x" * 90, "---", "a/b", "thing,thing"]
+    texts = ["", None, " \n ", "thing"] + [" ".join(rng.choice(vocabulary, n)) for n in (2, 47, 48, 49, 83, 84, 85, 300)]
+    scorer = toxicity.Scorer(net)
+    want = [plain_score(net, t) for t in texts]
+    assert np.allclose(scorer.score(texts), want, atol=1e-5) and np.allclose(scorer.score(texts[::-1]), want[::-1], atol=1e-5)
+    assert len(set(np.round(want, 4))) > 6
