@@ -1,5 +1,6 @@
 """Literal rows for the string functions, with results worked out by hand."""
 
+import time
 import unicodedata
 
 import pytest
@@ -106,6 +107,26 @@ def test_transform_outcomes(spark):
     assert transform.attempt("p", "abcd", lambda p, t: "a")[1] == "attempt 3: validation too_short (ratio 0.25)"
 
 
+def test_pacing_and_time_limit():
+    clock, slept = [10.0], []
+
+    def sleep(seconds):
+        slept.append(round(seconds, 6))
+        clock[0] += seconds
+
+    pacer = transform.Pacer(2.2, lambda: clock[0], sleep)
+    pacer.wait()
+    clock[0] += 0.2
+    pacer.wait()
+    clock[0] += 5
+    pacer.wait()
+    pacer.wait()
+    assert slept == [2.0, 2.2]
+    assert transform.attempt("p", "abc", lambda p, t: time.sleep(5) or t, 1, 0.05) == (False, "attempt 1: no result within 0.05 seconds", None)
+    assert transform.attempt("p", "abc", lambda p, t: t, 1, 5.0) == (True, "", "abc")
+    assert transform.attempt("p", "abc", lambda p, t: 1 / 0, 1, 5.0)[1] == "attempt 1: division by zero"
+
+
 def test_errors_stay_with_their_document(spark):
     rows = spark.createDataFrame([(1, " "), (2, "..."), (3, "Too short."), (4, "This sentence has enough words."), (5, None)], "doc_id int, text string")
     got = {r.doc_id: (r.error, r.text) for r in clean.clean_text(rows).collect()}

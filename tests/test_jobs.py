@@ -43,6 +43,33 @@ def test_split_and_merge(spark, tmp_path):
     assert (tmp_path / "tale.txt").read_text() == "\n".join(lines) and not (tmp_path / "taleS001.txt").exists() and (tmp_path / "oddS004.txt").exists()
 
 
+def test_translate(spark, tmp_path):
+    lines = [f"This is sentence number {'abcdefg'[i]} of the whole tale." for i in range(7)]
+    (tmp_path / "tale.txt").write_text(" ".join(lines))
+    (tmp_path / "prompt.md").write_text("Do so.\n")
+    said = []
+
+    def run(request, text):
+        path = request.split("---\n")[1].split("\n")[0].rsplit(" ", 1)[1]
+        if not request.startswith("# Story Context\n\n") or "Tom, a boy\n\n# Translation Instructions\n\nDo so.\n\n---\n" not in request:
+            raise ValueError("a wrong request")
+        if path.endswith("S002.txt"):
+            raise RuntimeError("boom")
+        return text.upper() + "\n\n"
+
+    def translate(context="Tom, a boy", source="tale.txt", template="prompt.md"):
+        return jobs.translate_files(spark, str(tmp_path / source), context, str(tmp_path / template), run, f"file://{tmp_path}/work", pause=0.01, limit=20, say=said.append, max_lines=3)
+
+    assert [translate(" "), translate("имя"), translate(source="none.txt"), translate(template="none.md")] == [1] * 4
+    assert [s.split(":")[0] for s in said] == ["failed"] * 4 and said[0].endswith("empty_context") and said[1].endswith("non_ascii_context")
+    assert (tmp_path / "tale.txt").read_text() == " ".join(lines) and not (tmp_path / "taleS001.txt").exists()
+    said.clear()
+    assert translate() == 1
+    assert said == ["3 parts, 2 pauses, about 2m 41s", "1 - done.", "2 - done.", "3 - fail (attempt 3: boom).", "3 parts, 2 done, 1 failed"]
+    got = [(tmp_path / n).read_text() for n in ("tale.txt", "taleS001.txt", "taleS002.txt")]
+    assert got == ["\n".join(lines[:3]).upper(), "\n".join(lines[3:6]).upper(), lines[6]]
+
+
 def test_site(spark, tmp_path):
     (tmp_path / "sources" / "b").mkdir(parents=True)
     (tmp_path / "Pages").mkdir()

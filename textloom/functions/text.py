@@ -350,4 +350,4 @@ def fingerprint(content: Column) -> Column:
 
 def user_message(path: Column, prompt: Column) -> Column:
     """STR19: the request for one part: the instructions, a rule, where the part lies and what to do with it."""
-    return F.concat(F.trim(prompt), F.lit(USER_HEAD), path, F.lit(USER_TAIL))
+    return F.concat(trim(prompt), F.lit(USER_HEAD), path, F.lit(USER_TAIL))

@@ -1,4 +1,4 @@
-"""Whole jobs over files: cleaning in place, splitting, merging, the site (ORC6, ORC11, ORC12, SNK1 to SNK5, SNK7, SNK8, AG8, AG10).
+"""Whole jobs over files: cleaning in place, splitting, merging, the site (ORC1, ORC2, ORC6, ORC11, ORC12, SNK1 to SNK5, SNK7, SNK8, AG8 to AG12).
 
 A job returns its report (a DataFrame) and its exit status. What a file gave is written as a table in `work`, a shared
 folder, before anything is overwritten: what is written next comes from there, not from files that the job has changed.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import catalog, clean, pack, part_files, regroup
+from .operators import catalog, clean, pack, part_files, regroup, transform, validate
 from .sources import text_files
 
 NUMBERED = r"^(.*)S([0-9]{3})(\.[^./]*)$"
@@ -62,7 +62,12 @@ def split_files(spark: SparkSession, paths: list[str], work: str, **limits: int)
 
     A source without parts, or with more part files beside it than it now gives (FLT17), is left as it is, with an error.
     """
-    found = text_files.read(spark, paths)
+    report, _, status = _split(spark, text_files.read(spark, paths), work, limits)
+    return report, status
+
+
+def _split(spark: SparkSession, found: DataFrame, work: str, limits: dict[str, int]) -> tuple[DataFrame, DataFrame, int]:
+    """found: path, text, error. The report of split_files, the parts, and the status."""
     parts = _kept(pack.parts(found.where("error is null").select(F.col("path").alias("source"), "text"), path=F.col("source"), **limits), work)
     made = parts.groupBy("source").agg(F.max("part_no").alias("n_parts"))
     folders = [r[0] for r in found.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct().collect()]  # folders, not files
@@ -78,7 +83,43 @@ def split_files(spark: SparkSession, paths: list[str], work: str, **limits: int)
     written = _kept(text_files.write_files(fine, "part_path", "part_text"), work).where("error is not null")
     failed = written.join(parts.select("source", F.col("part_path").alias("path")), "path").groupBy("source").agg(F.min("error").alias("failed"))
     report = report.join(failed, "source", "left").select("source", "n_parts", F.coalesce("error", "failed").alias("error"))
-    return report, int(bool(report.where("error is not null").limit(1).count()))
+    return report, parts, int(bool(report.where("error is not null").limit(1).count()))
+
+
+def translate_files(
+    spark: SparkSession, source: str, context: str, template: str, run: Callable[[str, str], str], work: str,
+    pause: float = validate.PAUSE_SECONDS, limit: float | None = None, say: Callable[[str], None] = print, **limits: int,
+) -> int:
+    """ORC1, ORC2: a source is cleaned and split over its part files, and each part goes through `run`, given its request (STR19) and text.
+
+    A part that succeeds is written over; one that fails keeps what the split gave it. Says the estimate (AG12), a line for
+    each part and the summary (AG11). Status 1 where the context, the source or a part fails. template: the path of the instructions.
+    """
+    try:
+        prompt, wrong = T.system_prompt(F.lit(context), text_files.load_text(spark, template))
+        wrong = spark.range(1).select(wrong.alias("wrong")).first().wrong
+        if wrong:
+            raise ValueError(wrong)
+        found = text_files.read(spark, [source]).select("path", "text", "error")
+        cleaned = clean.clean_text(found.where("error is null").select("path", "text")).select("path", "text", "error")
+        report, parts, status = _split(spark, cleaned.unionByName(found.where("error is not null")), work, limits)
+        if status:
+            raise ValueError(report.where("error is not null").first().error)
+    except (FileNotFoundError, ValueError) as error:
+        say(f"failed: {error}")
+        return 1
+    parts = parts.select(F.col("part_no").cast("int").alias("part_number"), F.col("part_path").alias("path"), F.col("part_text").alias("text"))
+    estimate = validate.estimate(parts.agg(F.count("*").alias("part_count"))).first()
+    say(f"{estimate.part_count} parts, {estimate.launch_pause_count} pauses, about {estimate.estimate_text}")
+    made = _kept(transform.transform_parts(parts.withColumn("request", T.user_message(F.col("path"), prompt)), run, limit=limit, pause=pause), work)
+    written = _kept(text_files.write_files(made.where("ok")), work)
+    unwritten = written.where("error is not null").select("path", F.col("error").alias("bad"))
+    outcomes = made.join(unwritten, "path", "left").select("part_number", "path", (F.col("ok") & F.col("bad").isNull()).alias("ok"), F.coalesce("bad", "reason").alias("reason"))
+    for row in outcomes.orderBy("part_number").toLocalIterator():
+        say(f"{row.part_number} - {'done' if row.ok else f'fail ({row.reason})'}.")
+    summary = validate.outcome_summary(outcomes.withColumn("source", F.lit(source)), "source").first()
+    say(f"{summary.total} parts, {summary.n_ok} done, {summary.n_failed} failed")
+    return int(not summary.all_ok)
 
 
 def merge_files(spark: SparkSession, paths: list[str], work: str) -> tuple[DataFrame, int]:
