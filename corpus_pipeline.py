@@ -1,6 +1,11 @@
 """The corpus pipeline: toxic documents go, near-duplicates collapse, contaminated documents go, sources are mixed, token ids are written.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next one's docs.
+
+Defined results: null and empty texts are clean, have no near-duplicates and no passages; the mix, which is one of words,
+leaves them out. Rows of a null doc_id go through each stage, but collapse with none. Of the rows
+that repeat a doc_id the near-duplicate stage leaves one at most. Null sources are a source, the last. Extra columns pass through all stages
+but the last, whatever their names. A text of any length is read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
