@@ -30,12 +30,12 @@ def full(c: Column, pattern: str) -> Column:
 
 def trim(c: Column) -> Column:
     """White space of all kinds off both ends."""
-    return replace(c, rf"\A{C.WS}+|{C.WS}+\z", "")
+    return F.btrim(c, F.lit(C.WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
     """FLT12."""
-    return ~F.regexp_like(c, F.lit(C.NOT_WS))
+    return ~F.regexp_like(c, F.lit(C.FAST_NOT_WS))
 
 
 def fold_newlines(c: Column) -> Column:
@@ -45,12 +45,19 @@ def fold_newlines(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """GEN1: an array of lines; a final line end adds no empty line."""
-    return F.split(replace(c, rf"(?:{C.LINE_END})\z", ""), C.LINE_END)
+    last = lambda own: F.slice(own, 1, F.size(own) - F.when((F.size(own) > 1) & (F.element_at(own, -1) == ""), 1).otherwise(0))
+    return let(_lines(c), last)
+
+
+def _lines(c: Column) -> Column:
+    """Lines, and an empty one after a final line end. Most texts know LF alone, which needs no pattern."""
+    other = lambda x: reduce(or_, [F.contains(x, F.lit(e)) for e in C.OTHER_LINE_ENDS])
+    return let(c, lambda x: F.when(other(x), F.split(x, C.FAST_LINE_END)).otherwise(F.split(x, "\n")))
 
 
 def strip_symbols(c: Column) -> Column:
     """STR4: every character but letters, marks, numbers, punctuation, CR, LF and tab becomes a space."""
-    return replace(c, C.SYMBOL, " ")
+    return replace(c, C.SYMBOL_NOT_SPACE, " ")
 
 
 def quality_score(c: Column) -> Column:
@@ -88,34 +95,64 @@ def preprocess(c: Column) -> Column:
 
 
 def normalize_line(c: Column) -> Column:
-    """STR7: spaced dots become one stop, white space collapses, punctuation is set tight before and spaced after."""
-    c = replace(c, rf"(?:\.{C.WS}*){{3,}}", ". ")
-    c = F.trim(replace(c, f"{C.WS}+", " "))
+    """STR7: spaced dots become one stop, white space collapses, punctuation is set tight before and spaced after.
+
+    One look tells whether any of these steps has something to do; most lines and nearly all sentences have nothing.
+    """
+    return let(F.trim(c), lambda x: F.when(is_normal(x), x).otherwise(_normalize_line(x)))
+
+
+#: A place that a step of normalize_line would change, in a text without spaces around it or double ones; three spaced dots always hold one.
+_PUNCTUATION = ",.;:!?"
+_CHANGED = rf"(?<= [{_PUNCTUATION}])|(?<=[{_PUNCTUATION}])(?=[^{C.FAST_WS_BODY}\"'”’)\]}}])|(?<={C.FAST_WS_NOT_SPACE})"
+NOT_NORMAL = rf"[{_PUNCTUATION}{C.FAST_WS_NOT_SPACE}](?:{_CHANGED})"
+
+
+def is_normal(c: Column) -> Column:
+    """normalize_line leaves the text, which has no spaces around it, as it is; so it would any part of it, trimmed."""
+    return ~F.contains(c, F.lit("  ")) & ~F.regexp_like(c, F.lit(NOT_NORMAL))
+
+
+def _normalize_line(c: Column) -> Column:
+    collapse = lambda x: F.trim(replace(x, rf"{C.FAST_WS_NOT_SPACE}{C.FAST_WS}*| {C.FAST_WS}+", " "))
+    c = collapse(replace(c, rf"\.{C.FAST_WS}*(?:\.{C.FAST_WS}*){{2,}}", ". "))
     c = replace(c, r" +([,.;:!?])", "$1")
-    c = replace(c, rf"([,.;:!?])(?=[^{C.WS_BODY}\"'”’)\]}}])", "$1 ")
-    return F.trim(replace(c, f"{C.WS}+", " "))
+    c = replace(c, rf"([,.;:!?])(?=[^{C.FAST_WS_BODY}\"'”’)\]}}])", "$1 ")
+    return collapse(c)
 
 
 def mark_dialogue(c: Column) -> Column:
     """STR8: a dash between a sentence's end and the next speaker becomes a line end."""
-    return replace(c, rf"([{C.TERMINATORS}]+[{C.CLOSERS}]*){C.WS}*-{C.WS}+(?=[\"'«A-ZА-ЯЁ0-9])", "$1\n")
+    marked = replace(c, rf"([{C.TERMINATORS}]+[{C.CLOSERS}]*){C.FAST_WS}*-{C.FAST_WS}+(?=[\"'«A-ZА-ЯЁ0-9])", "$1\n")
+    return F.when(F.contains(c, F.lit("-")), marked).otherwise(c)
 
 
 def strip_dash(c: Column) -> Column:
     """STR9."""
-    return normalize_line(replace(c, rf"\A{C.WS}*-{C.WS}*", ""))
+    return normalize_line(F.when(F.contains(c, F.lit("-")), replace(c, rf"\A{C.FAST_WS}*-{C.FAST_WS}*", "")).otherwise(c))
 
 
 def split_chunk(c: Column) -> Column:
-    """GEN2: every run of terminators with its closers ends a sentence."""
-    return F.regexp_extract_all(c, F.lit(rf".+?(?:[{C.TERMINATORS}]+[{C.CLOSERS}]*|$)"), F.lit(0))
+    """GEN2: every run of terminators with its closers ends a sentence. Of one line."""
+    return F.regexp_extract_all(c, F.lit(rf".[^{C.TERMINATORS}]*+(?:[{C.TERMINATORS}]++[{C.CLOSERS}]*+|\z)"), F.lit(0))
 
 
 def split_line(c: Column) -> Column:
-    """GEN3: sentences of a line."""
-    chunks = F.split(mark_dialogue(normalize_line(c)), "\n")
-    found = F.flatten(F.transform(chunks, lambda x: split_chunk(strip_dash(x))))
-    return F.filter(F.transform(found, normalize_line), lambda x: (x != "") & ~full(x, f"[{C.TERMINATORS}]+"))
+    """GEN3: sentences of a line.
+
+    A normal line without dashes is one chunk, and its sentences need trimming only.
+    """
+    plain = lambda x: is_normal(x) & ~F.contains(x, F.lit("-"))
+    simple = lambda x: F.transform(split_chunk(x), lambda y: F.trim(y))  # noqa: E731 (trim's second parameter is not the index)
+    other = lambda x: F.transform(F.flatten(F.transform(F.split(mark_dialogue(x), "\n"), lambda y: split_chunk(strip_dash(y)))), normalize_line)
+    again = lambda n: F.when(plain(n), simple(n)).otherwise(other(n))
+    found = let(F.trim(c), lambda x: F.when(plain(x), simple(x)).otherwise(let(normalize_line(x), again)))
+    return F.filter(found, lambda x: (x != "") & ~(first(x).isin(*C.TERMINATORS) & full(x, f"[{C.TERMINATORS}]+")))
+
+
+def first(c: Column) -> Column:
+    """The first character: a cheap test before a pattern."""
+    return F.substring(c, 1, 1)
 
 
 def rebalance(c: Column) -> Column:
@@ -125,8 +162,10 @@ def rebalance(c: Column) -> Column:
     """
     pattern = f"\\A[{C.LEADING_CLOSERS}]+"
 
+    leading = lambda x: first(x).isin(*C.LEADING_CLOSERS.replace("\\", ""))
+
     def part(x, i):
-        leads = (i > 0) & F.regexp_like(x, F.lit(pattern))
+        leads = (i > 0) & leading(x)
         closers = F.when(leads, F.regexp_extract(x, pattern, 0)).otherwise("")
         return F.struct(closers.alias("closers"), F.when(leads, normalize_line(replace(x, pattern, ""))).otherwise(x).alias("rest"))
 
@@ -139,12 +178,14 @@ def rebalance(c: Column) -> Column:
         moved = F.slice(parts, at + 2, F.greatest(until - at, F.lit(0)))
         return F.concat(F.get(parts, at)["rest"], F.array_join(F.transform(moved, lambda x: x["closers"]), ""))
 
-    return let(F.transform(c, part), join)
+    # most texts have nothing to move
+    moves = lambda own: F.exists(F.slice(own, 2, F.size(own)), lambda x: x.isNull() | (x == "") | leading(x))
+    return let(c, lambda own: F.when(moves(own), let(F.transform(own, part), join)).otherwise(own))
 
 
 def split_sentences(c: Column) -> Column:
     """GEN4: sentences of a text, row-local: no shuffle, order kept by the array."""
-    kept = F.filter(F.transform(lines(c), trim), lambda x: x != "")
+    kept = F.filter(F.transform(_lines(c), trim), lambda x: x != "")
     return rebalance(F.flatten(F.transform(kept, split_line)))
 
 
@@ -155,8 +196,9 @@ def casefold(c: Column) -> Column:
 
 def significant_words(c: Column) -> Column:
     """FN1."""
-    words = F.regexp_extract_all(c, F.lit(C.WORD), F.lit(0))
-    return F.size(F.filter(words, lambda w: casefold(w).isin(*C.SHORT_WORDS) | (F.length(casefold(w)) >= 4)))
+    words = F.regexp_extract_all(c, F.lit(C.FAST_WORD), F.lit(0))
+    # folding never shortens a word
+    return F.size(F.filter(words, lambda w: (F.length(w) >= 4) | casefold(w).isin(*C.SHORT_WORDS) | (F.length(casefold(w)) >= 4)))
 
 
 def word_count(c: Column) -> Column:
@@ -171,7 +213,7 @@ def non_blank_size(c: Column) -> Column:
 
 def contains_cjk(c: Column) -> Column:
     """FLT8."""
-    return F.regexp_like(c, F.lit(C.CJK))
+    return F.regexp_like(c, F.lit(C.FAST_CJK))
 
 
 def drop_flags(c: Column) -> dict[str, Column]:
@@ -182,16 +224,28 @@ def drop_flags(c: Column) -> dict[str, Column]:
 def rules(n: Column) -> dict[str, Column]:
     return {
         "is_empty": n == "",
-        "is_moderators": casefold(n) == C.MODERATORS,
+        "is_moderators": (F.length(n) == len(C.MODERATORS)) & (casefold(n) == C.MODERATORS),
         "is_weekly": full(n, C.WEEKLY),
         "is_community": full(n, C.COMMUNITY),
-        "has_url": F.regexp_like(n, F.lit(C.URL)),
+        "has_url": F.regexp_like(n, F.lit(C.FAST_URL)),
         "has_cjk": contains_cjk(n),
     }
 
 
 def should_drop(c: Column) -> Column:
-    return let(normalize_line(c), lambda n: reduce(or_, rules(n).values()))
+    """FLT9: any of the rules. One pattern tells whether normalising or the two rules for any place matter; seldom either does."""
+    # a URL in a normal text is www. before a closer
+    suspect = rf"[{_PUNCTUATION}{C.FAST_WS_NOT_SPACE}{C.FAST_CJK}](?:{_CHANGED}|(?<={C.FAST_CJK})|(?<=[wW]{{3}}\.)(?={C.FAST_NOT_WS}))"
+    plain = lambda x: ~F.contains(x, F.lit("  ")) & ~F.regexp_like(x, F.lit(suspect))
+
+    def whole(n):
+        flags = rules(n)
+        weekly = first(n).isin("о", "О", "ᲂ") & flags["is_weekly"]  # the third (U+1C82) folds to the others
+        community = (F.substring(n, 2, 1) == "/") & flags["is_community"]
+        return flags["is_empty"] | flags["is_moderators"] | weekly | community
+
+    every = lambda x: let(normalize_line(x), lambda n: reduce(or_, rules(n).values()))
+    return let(F.trim(c), lambda x: F.when(plain(x), whole(x)).otherwise(every(x)))
 
 
 def is_timing_line(c: Column) -> Column:
@@ -206,7 +260,7 @@ def is_index_line(c: Column) -> Column:
 
 def looks_like_subtitle(c: Column) -> Column:
     """FLT3."""
-    return F.exists(lines(c), is_timing_line)
+    return F.contains(c, F.lit("-->")) & F.exists(lines(c), is_timing_line)
 
 
 def strip_subtitles(c: Column) -> Column:
@@ -232,7 +286,8 @@ def _strip_forum(own: Column) -> Column:
     ui = lambda x: x.isin(*C.UI_LINES) | (x == "•") | full(x, C.REPLIES_LINE) | full(x, C.BADGE_LINE)
     marks = F.transform(own, lambda x: F.struct(x.alias("t"), full(x, C.AVATAR_LINE).alias("avatar"), full(x, C.USER_LINE).alias("user"), (x == "•").alias("dot"), full(x, C.AGO_LINE).alias("ago"), ui(x).alias("ui"), x.isin(*C.UI_LINES[:2]).alias("vote"), full(x, C.INDEX_LINE).alias("digits")))
     plain = F.array_join(F.filter(own, lambda x: x != ""), "\n")
-    return F.when(F.exists(own, lambda x: ui(x) | full(x, C.AVATAR_LINE)), let(marks, _fold_forum)).otherwise(plain)
+    begins = {line[0] for line in (*C.UI_LINES, C.AVATAR_LINE, C.REPLIES_LINE, "•", "Значок", "Комментатор")}
+    return F.when(F.exists(own, lambda x: first(x).isin(*sorted(begins)) & (ui(x) | full(x, C.AVATAR_LINE))), let(marks, _fold_forum)).otherwise(plain)
 
 
 def _fold_forum(marks: Column) -> Column:

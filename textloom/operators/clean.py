@@ -35,6 +35,15 @@ def clean_sentences(frame: DataFrame, column: str = "text", min_words: int = MIN
     return found.where((F.col("n_sig") >= min_words) & ~T.should_drop(F.col("sentence")))
 
 
+def kept_rows(frame: DataFrame, rest: list[str], value: Column, keep) -> DataFrame:
+    """The columns `rest` and the fields of a struct, of rows where keep(struct) holds.
+
+    The struct is computed once, where the rows lie: a filter on its fields would be pushed below the exchange of spread()
+    and compute all of it there a second time, on the few tasks that read the file.
+    """
+    return frame.select(*rest, F.inline(F.filter(F.array(value), keep)))
+
+
 def good_sentences(c: Column, min_words: int = MIN_WORDS) -> Column:
     """The sentences of a text that stay, as an array: what ORC9 keeps, for use within one expression."""
     return F.filter(T.split_sentences(c), lambda s: kept(s, min_words))

@@ -51,8 +51,9 @@ def clean_sentences(spark, sf_dir):
 def filter_min_words(spark, sf_dir):
     """FLT10 at three thresholds. Counted within the row: no shuffle."""
     n = F.transform(T.split_sentences(T.strip_symbols(c("text"))), T.significant_words)
-    at = lambda k: F.size(F.filter("n", lambda x: x >= k)).cast("long").alias(f"k{k}")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).where(F.size("n") > 0).select("doc_id", F.size("n").cast("long").alias("n_sentences"), at(1), at(3), at(5))
+    at = lambda n, k: F.size(F.filter(n, lambda x: x >= k)).cast("long").alias(f"k{k}")
+    counts = T.let(n, lambda n: F.struct(F.size(n).cast("long").alias("n_sentences"), at(n, 1), at(n, 3), at(n, 5)))
+    return clean.kept_rows(table(spark, sf_dir, "documents"), ["doc_id"], counts, lambda x: x["n_sentences"] > 0)
 
 
 @query(f"select page_id, md5({D.strip_symbols('html')}) stripped from pages")
