@@ -30,9 +30,10 @@ def kept(sentence: Column, min_words: int | Column = MIN_WORDS) -> Column:
 
 def clean_sentences(frame: DataFrame, column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The flagship: symbols stripped, sentences cut, dropped or kept, with the significant words of each."""
-    stripped = frame.withColumn(column, T.strip_symbols(T.fold_newlines(F.col(column))))
-    found = sentences(stripped, column).withColumn("n_sig", T.significant_words(F.col("sentence")))
-    return found.where((F.col("n_sig") >= min_words) & ~T.should_drop(F.col("sentence")))
+    rest = [c for c in frame.columns if c != column]
+    found = T.split_sentences(T.strip_symbols(T.fold_newlines(F.col(column))))
+    counted = F.transform(found, lambda s, i: F.struct(i.alias("sent_no"), s.alias("sentence"), T.significant_words(s).alias("n_sig")))
+    return frame.select(*rest, F.inline(F.filter(counted, lambda x: (x["n_sig"] >= min_words) & ~T.should_drop(x["sentence"]))))
 
 
 def kept_rows(frame: DataFrame, rest: list[str], value: Column, keep) -> DataFrame:
