@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,7 +39,11 @@ def repair_mojibake(frame: DataFrame, column: str) -> DataFrame:
     tried = frame.withColumns({n: F.when(wide, _recode(x)(F.when(wide, c))) for n, x in zip(names, CODECS, strict=True)})
     rated = F.array(*[F.struct(T.quality_score(F.col(n)).alias("score"), F.lit(-i).alias("order"), F.col(n).alias("text")) for i, n in enumerate([column, *names])])
     best = F.array_max(F.filter(rated, lambda x: x["text"].isNotNull()))["text"]
-    return tried.withColumn(column, F.when(wide, best).otherwise(c)).drop(*names)
+    # most texts have no candidate but themselves, and need no score
+    chosen = F.when(reduce(or_, [F.col(n).isNotNull() for n in names]), best).otherwise(c)
+    # made by a generator, the text is computed once, not again wherever a later column names it
+    made = tried.select(*[F.col(x) for x in frame.columns if x != column], F.inline(F.array(F.struct(chosen.alias(column)))))
+    return made.select(*frame.columns)
 
 
 @F.pandas_udf(StringType())
