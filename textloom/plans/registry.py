@@ -81,7 +81,8 @@ _QUOTED = "replace(replace(text, '. ', '. \"'), ', ', '»). ')"
 def rebalance_closers(spark, sf_dir):
     """GEN2, GEN3, FOLD2, with quotes and closers put in."""
     quoted = F.replace(F.replace(c("text"), F.lit(". "), F.lit('. "')), F.lit(", "), F.lit("»). "))
-    return table(spark, sf_dir, "documents").select("doc_id", T.split_sentences(quoted).alias("s")).where(F.size("s") > 0).select("doc_id", F.array_join("s", "\n").alias("sentences"), F.size("s").alias("n"))
+    joined = T.let(T.split_sentences(quoted), lambda s: F.struct(F.array_join(s, "\n").alias("sentences"), F.size(s).alias("n")))
+    return clean.kept_rows(table(spark, sf_dir, "documents"), ["doc_id"], joined, lambda x: x["n"] > 0)
 
 
 @query(f"select doc_id, {D.n_sig('text')}::int n_sig, {D.n_words('text')}::int n_words, length({D.sub('text', C.WS, '')})::bigint n_visible from documents")
