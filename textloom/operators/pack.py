@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import charclass as C
+from ..functions import sentences as S
 from ..functions import text as T
+from . import clean
 
 #: Lines and characters of a part, and characters of one without punctuation.
 MAX_LINES, MAX_CHARS, MAX_PLAIN = 300, 10_000, 12_000
@@ -75,13 +77,23 @@ def pack(c: Column, **limits: int) -> Column:
     return pack_lines(F.filter(T.lines(c), lambda x: ~T.is_blank(x)), **limits)
 
 
+def _rows(frame: DataFrame, column: str, packed: Column) -> DataFrame:
+    out = frame.select(*[c for c in frame.columns if c != column], F.posexplode(packed).alias("part_no", "part_text")).withColumn("part_no", F.col("part_no") + 1)
+    return out.withColumns({"n_lines": F.size(F.split("part_text", "\n")), "n_chars": F.length("part_text")})
+
+
 def parts(frame: DataFrame, column: str = "text", path: Column | None = None, **limits: int) -> DataFrame:
     """One row a part: part_no (from 1), part_text, n_lines, n_chars, and part_path where the source's path is given (STR15).
 
     `column` is a text, or an array of lines (as clean.good_sentences gives), which is then not split again.
     """
-    rest = [c for c in frame.columns if c != column]
     packed = pack_lines if frame.schema[column].dataType.typeName() == "array" else pack
-    out = frame.select(*rest, F.posexplode(packed(F.col(column), **limits)).alias("part_no", "part_text")).withColumn("part_no", F.col("part_no") + 1)
-    out = out.withColumns({"n_lines": F.size(F.split("part_text", "\n")), "n_chars": F.length("part_text")})
+    out = _rows(frame, column, packed(F.col(column), **limits))
     return out if path is None else out.withColumn("part_path", T.part_path(path, F.col("part_no") - 1))
+
+
+def sentence_parts(frame: DataFrame, column: str = "text", min_words: int = clean.MIN_WORDS, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, max_plain: int = MAX_PLAIN) -> DataFrame:
+    """The parts of the sentences that stay of each text, its symbols stripped: by batches, by expression where these leave a text."""
+    c, limits = F.col(column), {"max_lines": max_lines, "max_chars": max_chars, "max_plain": max_plain}
+    own = pack_lines(clean.good_sentences(T.strip_symbols(c), min_words), **limits)
+    return _rows(frame, column, F.coalesce(S.good_parts(c, min_words, **limits, symbols=True), own))

@@ -213,9 +213,7 @@ def _packed_chars_sql(limit: int) -> str:
 
 
 def _packed(spark, sf_dir, **limits):
-    """Sentences are split once, in the expression that packs them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", clean.good_sentences(T.strip_symbols(c("text"))).alias("own"))
-    return pack.parts(docs, "own", **limits).select("doc_id", "part_no", "part_text", "n_lines")
+    return pack.sentence_parts(table(spark, sf_dir, "documents").select("doc_id", "text"), **limits).select("doc_id", "part_no", "part_text", "n_lines")
 
 
 @query(_packed_sql(300, 10_000, 12_000))
