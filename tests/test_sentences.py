@@ -62,6 +62,24 @@ def test_parts_equal_the_expressions(spark, limits):
     assert got.exceptAll(want).head(3) == []
 
 
+def test_other_forms_equal_the_expressions(spark):
+    c, docs = F.col("text"), frame(spark, texts(1500)).cache()
+    plain = T.split_sentences(T.strip_symbols(T.fold_newlines(c)))
+    each = docs.select("doc_id", F.posexplode(plain).alias("sent_no", "sentence")).withColumn("n_sig", T.significant_words(F.col("sentence")))
+    for n in (0, 3):
+        got, want = clean.clean_sentences(docs, min_words=n), each.where((F.col("n_sig") >= n) & ~T.should_drop(F.col("sentence")))
+        assert got.columns == want.columns and got.count() == want.count() > 1000 and got.exceptAll(want).head(3) == []
+    split = docs.select("doc_id", F.posexplode(T.split_sentences(c)).alias("sent_no", "sentence"))
+    assert clean.sentences(docs).exceptAll(split).head(3) == [] and clean.sentences(docs).count() == split.count()
+    counts = docs.select("text", S.word_counts(c, symbols=True).alias("got"), F.transform(T.split_sentences(T.strip_symbols(c)), T.significant_words).alias("want"))
+    assert counts.where("got <> want").head(3) == []
+    own, good = T.split_sentences(c), clean.good_sentences(c)
+    error = F.when(T.is_blank(c) | c.isNull(), "empty_input").when(F.size(own) == 0, "no_sentences").when(F.size(good) == 0, "all_filtered")
+    judged = docs.select("doc_id", error.alias("error"), F.when(error.isNull(), F.array_join(good, "\n")).alias("text"))
+    got = clean.filter_normalized(docs).select("doc_id", "error", "text")
+    assert got.exceptAll(judged).head(3) == [] and {r.error for r in got.select("error").distinct().collect()} == {None, "empty_input", "no_sentences", "all_filtered"}
+
+
 def test_bytes_that_are_no_text_are_left_to_the_expressions(spark):
     bad = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(unhex(concat(hex('four good words here. '), 'FF', hex(' and four good words'))) as string)").alias("text"))
     want = pack.parts(bad.select("doc_id", clean.good_sentences(T.strip_symbols(F.col("text"))).alias("own")), "own").collect()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..functions import sentences as S
 from ..functions import text as T
 
 MIN_WORDS = 3
@@ -17,10 +18,15 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+def split_sentences(c: Column) -> Column:
+    """GEN4 of a column of a frame: by batches, by expression where these leave a text."""
+    return F.coalesce(S.split_sentences(c), T.split_sentences(c))
+
+
 def sentences(frame: DataFrame, column: str = "text") -> DataFrame:
     """GEN4: sent_no and sentence for each sentence, beside the other columns but the text."""
     rest = [c for c in frame.columns if c != column]
-    return frame.select(*rest, F.posexplode(T.split_sentences(F.col(column))).alias("sent_no", "sentence"))
+    return frame.select(*rest, F.posexplode(split_sentences(F.col(column))).alias("sent_no", "sentence"))
 
 
 def kept(sentence: Column, min_words: int | Column = MIN_WORDS) -> Column:
@@ -33,7 +39,9 @@ def clean_sentences(frame: DataFrame, column: str = "text", min_words: int = MIN
     rest = [c for c in frame.columns if c != column]
     found = T.split_sentences(T.strip_symbols(T.fold_newlines(F.col(column))))
     counted = F.transform(found, lambda s, i: F.struct(i.alias("sent_no"), s.alias("sentence"), T.significant_words(s).alias("n_sig")))
-    return frame.select(*rest, F.inline(F.filter(counted, lambda x: (x["n_sig"] >= min_words) & ~T.should_drop(x["sentence"]))))
+    slow = F.filter(counted, lambda x: (x["n_sig"] >= min_words) & ~T.should_drop(x["sentence"]))
+    # CR, LF and CRLF end lines all the same
+    return frame.select(*rest, F.inline(F.coalesce(S.counted_sentences(F.col(column), min_words, symbols=True), slow)))
 
 
 def kept_rows(frame: DataFrame, rest: list[str], value: Column, keep) -> DataFrame:
@@ -58,10 +66,11 @@ def filter_normalized(frame: DataFrame, column: str = "text", min_words: int = M
 
     blank = F.coalesce(T.is_blank(F.col(column)), F.lit(True))
     none = F.struct(F.lit("empty_input").alias("error"), F.lit("").alias("text"))
-    # sentences are split once, within one expression
-    result = F.when(blank, none).otherwise(T.let(T.split_sentences(F.col(column)), judged))
-    error = F.col("_judged.error")
-    return frame.withColumn("_judged", result).withColumn("error", error).withColumn(column, F.when(error.isNull(), F.col("_judged.text"))).drop("_judged")
+    slow = T.let(T.split_sentences(F.col(column)), judged)
+    result = F.when(blank, none).otherwise(F.coalesce(S.filtered_text(F.col(column), min_words), slow))
+    # made by a generator, so that no filter on the error is pushed into the computing
+    made = frame.select("*", F.inline(F.array(result)).alias("_error", "_text"))
+    return made.withColumn("error", F.col("_error")).withColumn(column, F.when(F.col("_error").isNull(), F.col("_text"))).drop("_error", "_text")
 
 
 def clean_text(frame: DataFrame, column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charclass as C
 from ..functions import codec
+from ..functions import sentences as S
 from ..functions import text as T
 from ..operators import catalog, clean, pack, part_files, regroup, transform, validate
 from . import duck as D
@@ -50,7 +51,7 @@ def clean_sentences(spark, sf_dir):
 @query(f"{_SENTENCES} select doc_id, count(*)::bigint n_sentences, count(*) filter (where {D.n_sig('sentence')} >= 1)::bigint k1, count(*) filter (where {D.n_sig('sentence')} >= 3)::bigint k3, count(*) filter (where {D.n_sig('sentence')} >= 5)::bigint k5 from each group by doc_id")
 def filter_min_words(spark, sf_dir):
     """FLT10 at three thresholds. Counted within the row: no shuffle."""
-    n = F.transform(T.split_sentences(T.strip_symbols(c("text"))), T.significant_words)
+    n = F.coalesce(S.word_counts(c("text"), symbols=True), F.transform(T.split_sentences(T.strip_symbols(c("text"))), T.significant_words))
     at = lambda n, k: F.size(F.filter(n, lambda x: x >= k)).cast("long").alias(f"k{k}")
     counts = T.let(n, lambda n: F.struct(F.size(n).cast("long").alias("n_sentences"), at(n, 1), at(n, 3), at(n, 5)))
     return clean.kept_rows(table(spark, sf_dir, "documents"), ["doc_id"], counts, lambda x: x["n_sentences"] > 0)
@@ -81,7 +82,7 @@ _QUOTED = "replace(replace(text, '. ', '. \"'), ', ', '»). ')"
 def rebalance_closers(spark, sf_dir):
     """GEN2, GEN3, FOLD2, with quotes and closers put in."""
     quoted = F.replace(F.replace(c("text"), F.lit(". "), F.lit('. "')), F.lit(", "), F.lit("»). "))
-    joined = T.let(T.split_sentences(quoted), lambda s: F.struct(F.array_join(s, "\n").alias("sentences"), F.size(s).alias("n")))
+    joined = T.let(clean.split_sentences(quoted), lambda s: F.struct(F.array_join(s, "\n").alias("sentences"), F.size(s).alias("n")))
     return clean.kept_rows(table(spark, sf_dir, "documents"), ["doc_id"], joined, lambda x: x["n"] > 0)
 
 
